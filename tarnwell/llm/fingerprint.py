@@ -74,7 +74,7 @@ def fingerprint(text: str, k: int = GRAM, w: int = WINDOW) -> tuple[np.ndarray,
 
 def as_text(print_: tuple[np.ndarray, np.ndarray]) -> str:
     """16 hex digits for each kept hash: hash and position, 8 digits each."""
-    return np.stack([print_[0].astype(">u4"), print_[1].astype(">u4")], axis=1).tobytes().hex()
+    return np.stack(print_, axis=1).astype(">u4").tobytes().hex()
 
 
 def from_text(digits: str) -> tuple[np.ndarray, np.ndarray]:

@@ -185,7 +185,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Rules:
 
     found = mapped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "good", "text"), work, "doc_id long, good boolean, failed boolean, x array<double>")
     got = sorted((r[0], r[1], list(r[2])) for r in found.where("not failed").select("doc_id", "good", "x").limit(4 * LABELLED).collect())
-    return Rules(np.array([r[2] for r in got]).reshape(len(got), -1), np.array([r[1] for r in got], bool))
+    return Rules(np.array([r[2] for r in got]) if got else np.zeros((0, 1)), np.array([r[1] for r in got], bool))
 
 
 def judged(docs: DataFrame, rules: Rules) -> DataFrame:

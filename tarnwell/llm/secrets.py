@@ -96,7 +96,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", F.array_sort(F.concat(*parts))).drop(*parts, *[f"__m{k}" for k in range(len(BASE))])
     whole, spans = _found(text, CANDIDATE, len(BASE), 0, WINDOW)
     rows = rows.withColumn("__c", whole)
-    rows = rows.withColumn("__c", F.when(F.size("__c") > 0, F.arrays_zip(spans.alias("span"), F.col("__c").alias("said"))).otherwise(F.lit([]).cast(f"array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>")))
+    rows = rows.withColumn("__c", F.when(F.size("__c") > 0, F.arrays_zip(spans.alias("span"), F.col("__c").alias("said"))).otherwise(F.lit([]).cast("array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>")))
 
     def random(x: Column) -> Column:
         chars = F.filter(F.split(x["said"], ""), lambda c: c != "")
@@ -117,7 +117,8 @@ def named(spans: Column) -> Column:
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_sha256 and spans of every row; no shuffle."""
     rows = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
