@@ -10,7 +10,7 @@ conceivable are verified by the exact weighted Jaccard similarity; classes are t
 verified links.
 
 No bucket is expanded into pairs: its members are compared with its least member. Where a bucket of three or more
-still holds several classes after that, its members are compared in blocks, and only likely pairs of different
+still holds several classes after that, its members are compared in blocks, and only links that connect
 classes leave the comparison. Equal texts are one node from the start.
 
 Defined cases: null texts and texts without words are alike to nothing; rows that share a doc_id are one
@@ -33,10 +33,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 4: a pair at similarity 0.8 shares none with a probability of 5e-8.
 M, ROWS = 128, 4
-#: Components that must agree for an exact comparison; fewer have a probability of 4e-9 at similarity 0.8.
+#: Components that must agree for an exact comparison; fewer have a probability of about 1e-8 at similarity 0.8.
 LIKELY = 76
 #: Members of a block where a bucket is compared in full.
-BLOCK = 1024
+BLOCK = 512
 #: Rows of ids (16 bytes each) up to which a join on them is a broadcast; beyond, it is a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -185,18 +185,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(t: pa.Table) -> pa.Table:
-    """Likely pairs of different classes between two blocks of a bucket (or within one)."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, M)
+    """Verified links between two blocks of a bucket (or within one), as many as connect the classes that they connect.
+
+    A pair is compared in the first band that it shares, and not once its classes are connected.
+    """
+    node, comp, block, band = (t.column(c).to_numpy() for c in ("node", "comp", "block", "pos"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), M // ROWS, ROWS)
+    bags = t.column("bag")
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    for x in left:
-        other = right[(comp[right] != comp[x]) & ((node[right] > node[x]) if i == j else True)]
-        hits = other[(sig[other] == sig[x]).sum(axis=1) >= LIKELY]
-        a.append(np.minimum(node[hits], node[x]))
-        b.append(np.maximum(node[hits], node[x]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    root = np.unique(comp, return_inverse=True)[1]  # the class of each member, as joined so far
+    a, b = [], []
+    for x in left.tolist():
+        other = right[right > x] if i == j else right
+        other = other[root[other] != root[x]]
+        equal = sig[other] == sig[x]
+        first = equal.all(axis=2).argmax(axis=1) == band[0]
+        for y in other[first & (equal.sum(axis=(1, 2)) >= LIKELY)].tolist():
+            if root[x] != root[y] and weighted_jaccard(bags[x].as_py(), bags[y].as_py()) >= SIMILARITY:
+                root[root == root[y]] = root[x]
+                a.append(min(node[x], node[y]))
+                b.append(max(node[x], node[y]))
+    return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def joined_small(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
@@ -242,13 +252,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    band = F.explode(F.expr(f"transform(sequence(0, {M // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})))"))
-    return nodes.where("sig is not null").select(band.alias("band"), "node")
+    band = F.posexplode(F.expr(f"transform(sequence(0, {M // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})))"))
+    return nodes.where("sig is not null").select(band.alias("pos", "band"), "node")
+
+
+def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, bag: the multisets of the texts of some documents (doc_id), which alone are read again."""
+    ids = written(ids.distinct(), "ids")
+    return written(mapped(joined_small(docs, ids, "doc_id", "left_semi"), _multisets, "node long, bag binary"), "bags")
 
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links between the members of each bucket and its least member."""
-    bands = _bands(nodes)
+    bands = _bands(nodes).select("band", "node")
     heads = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
     pairs = bands.join(heads, "band").where("node > a").select("a", F.col("node").alias("b")).distinct()
     return _exact(docs, _plausible(pairs, nodes))
@@ -264,8 +280,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with a weighted Jaccard similarity of at least SIMILARITY; only texts in a pair are read again in full."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "ids")
-    bags = written(mapped(joined_small(docs, ids, "doc_id", "left_semi"), _multisets, "node long, bag binary"), "bags")
+    bags = _bags(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
     both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     return mapped(both, _verified, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -273,17 +288,18 @@ def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _rest(docs: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame | None:
     """Verified links inside buckets that still hold several classes besides their least member's links.
 
-    Members are compared in blocks of about BLOCK: each pair of blocks is a task's group of bounded size.
+    Members are compared in blocks of about BLOCK: each pair of blocks is a task's group of bounded size, and at most
+    one link for each member leaves it.
     """
-    bands = _bands(nodes).join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = written(bands.join(mixed, "band"), "mixed")
+    bands = _bands(nodes).join(comps, "node", "left").select("band", "pos", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = bands.groupBy("band", "pos").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("band", "pos", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = written(bands.join(mixed, ["band", "pos"]), "mixed")
     if members.isEmpty():
         return None
-    members = members.join(nodes.select("node", "sig"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
-    dealt = members.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "node", "comp", "sig", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    pairs = dealt.groupBy("band", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
-    return written(_exact(docs, pairs), "links")
+    bags = _bags(docs, members.select(F.col("node").alias("doc_id")))
+    members = members.join(nodes.select("node", "sig").join(bags, "node"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    dealt = members.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "pos", "node", "comp", "sig", "bag", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    return written(dealt.groupBy("band", "pos", "i", "j").applyInArrow(_compared, "a long, b long").distinct(), "links")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
