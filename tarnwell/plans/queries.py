@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import mutations as m
 from tarnwell.operators import blocks, buffer, dictionary, leaf, segment
+from tarnwell.sources import segfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,6 +236,20 @@ _INDEX = f"""{_PACKED}, b AS (SELECT segment, block, max(key) AS separator, coun
 i AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY segment ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM b)"""
 
 
+@query("SELECT o_orderkey // 500 AS segment, 1::BIGINT AS version, printf('order:%012d', o_orderkey) AS key, concat_ws('|', o_orderstatus, o_orderpriority) AS value FROM orders")
+def seg_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries written to segment files and read back."""
+    root = segfile.shared_folder(spark)
+    segfile.write_segments(_entries(spark, sf_dir), root, 1)
+    return segfile.read_segments(spark, root).withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
+
+
+@query(f"{_INDEX} SELECT segment, count(*)::INT AS n_blocks, sum(n_entries)::BIGINT AS n_entries FROM i GROUP BY segment")
+def seg_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and entries of each segment file."""
+    return segfile.write_segments(_entries(spark, sf_dir), segfile.shared_folder(spark), 1).select("segment", "n_blocks", "n_entries")
+
+
 @query(f"{_PACKED} SELECT segment, key, bytes, block FROM p")
 def seg_block_pack_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries filled into blocks, segment by segment."""
