@@ -124,8 +124,8 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with MASK for every span in text, and n_chars to match; overlapping spans are masked as one."""
-    names = docs.columns
-    rows = scanned(docs)
+    # all columns travel in one, so that none of theirs can clash with those of scanned()
+    rows = scanned(docs.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -134,9 +134,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
     rows = rows.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+    now = {"text": F.col("text"), "n_chars": F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[(now[n] if n in now else F.col("row").getField(n)).alias(n) for n in docs.columns])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,12 @@ def test_op8(spark):
         for a, _, b in spans:
             out, at = (out + t[at:a] + secrets.MASK if a >= at else out), max(at, b)
         assert masked[i]["text"] == (out + t[at:] if spans else t)
+    clash = docs.selectExpr("doc_id", "text", "3 AS base", "'a' AS spans", "4L AS n_chars", "5 AS `__t`", "6 AS `row`")
+    got = secrets.masked(clash)
+    assert got.columns == clash.columns
+    for x in got.collect():
+        assert (x["base"], x["spans"], x["__t"], x["row"]) == (3, "a", 5, 6)
+        assert x["n_chars"] == (len(x["text"]) if spans_of(texts[x["doc_id"]])[1] else 4)
     plan = secrets.secrets(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
