@@ -70,8 +70,13 @@ class ContextTree:
 
     def bits(self, data: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Code length of each byte with inside > 0."""
-        at = np.flatnonzero(inside > 0)
-        cost = np.zeros(len(data))
+        at, cost = np.flatnonzero(inside > 0), np.zeros(len(data))
+        cost[at] = self.bits_at(data, inside, at)
+        return cost
+
+    def bits_at(self, data: np.ndarray, inside: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Code length of the bytes at some places with inside > 0."""
+        cost = np.zeros(len(at))
         open_ = np.ones(len(at), bool)
         total = np.full(len(at), -1.0)  # of the context to use, after exclusion; -1: not excluded yet
         kinds = np.zeros(len(at))
@@ -91,15 +96,14 @@ class ContextTree:
             p = np.searchsorted(level["pair"], pair)
             p[p == len(level["pair"])] = 0
             hit = level["pair"][p] == pair
-            j = at[i]
-            cost[j[hit]] += np.log2((n + d)[hit] / level["count"][p[hit]])
+            cost[i[hit]] += np.log2((n + d)[hit] / level["count"][p[hit]])
             miss = ~hit & (d > 0)  # with nothing left to say, the escape is certain
-            cost[j[miss]] += np.log2((n + d)[miss] / d[miss])
+            cost[i[miss]] += np.log2((n + d)[miss] / d[miss])
             open_[i[hit]] = False
             if k:
                 total[i[~hit]], kinds[i[~hit]] = level["left"][c[~hit]], level["left_kinds"][c[~hit]]
         unseen = 256 - (self.levels[0]["kinds"][0] if len(self.levels[0]["kinds"]) else 0)
-        cost[at[open_]] += np.log2(max(unseen, 1))
+        cost[open_] += np.log2(max(unseen, 1))
         return cost
 
 
@@ -110,6 +114,16 @@ def _contexts(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return key
 
 
+def distinct(data: np.ndarray, inside: np.ndarray, at: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct byte with its contexts, which alone decide its code length, and which of these each place of `at` has."""
+    n = np.minimum(inside[at], order)
+    key = n.astype(U64)
+    for j in range(order, -1, -1):
+        key = key << U64(8) | np.where(n >= j, data[np.maximum(at - j, 0)], 0).astype(U64)
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    return at[first], which
+
+
 def spaced(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of ` word ` for each word, how many bytes before each belong to its contexts, and each word's begin.
 
@@ -135,7 +149,13 @@ class LanguageModel:
         if not words:
             return np.zeros((0, len(self.trees)))
         data, inside, begin = spaced(words)
-        return np.stack([np.add.reduceat(t.bits(data, inside), begin) for t in self.trees], axis=1)
+        at = np.flatnonzero(inside > 0)
+        place, which = distinct(data, inside, at, max((t.order for t in self.trees), default=0))
+        out, cost = np.zeros((len(words), len(self.trees))), np.zeros(len(data))
+        for i, t in enumerate(self.trees):
+            cost[at] = t.bits_at(data, inside, place)[which]
+            out[:, i] = np.add.reduceat(cost, begin)
+        return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float], list[float]]:
         """Language, score and the winner's bits per byte of each text."""

@@ -188,6 +188,16 @@ def test_code_lengths():
             assert math.isclose(p, 1, rel_tol=1e-9)
 
 
+def test_word_costs_are_those_of_their_bytes():
+    r = random.Random(4)
+    model = langid.train([("a", "the cat sat on the mat. the rat ate the cat"), ("b", "le chat est sur le tapis")])
+    words = [bytes(r.choice(b"theca\xc3\xa9\x00z") for _ in range(r.randrange(0, 9))) for _ in range(300)]
+    got = model.word_bits(words)
+    for w, costs in zip(words, got, strict=True):
+        data, inside, _ = langid.spaced([w])
+        assert np.allclose(costs, [t.bits(data, inside).sum() for t in model.trees], rtol=1e-12)
+
+
 def test_op4(spark):
     sf = "/root/testdata/sf0.01"
     rows = langid.op4_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
