@@ -48,7 +48,8 @@ def seek_many(segment: DataFrame, key: str, targets: DataFrame) -> DataFrame:
     """
     both = segment.select(F.col(key).alias("k"), F.lit(True).alias("own")).unionAll(targets.distinct().select(F.col(targets.columns[0]).alias("k"), F.lit(False).alias("own")))
     rows = _carried(*_ranged(both, "k"))
-    ahead = Window.partitionBy("__part").orderBy("k").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # downwards, so that the frame only grows: a frame that shrinks is evaluated anew for each row
+    ahead = Window.partitionBy("__part").orderBy(F.desc("k")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.coalesce(F.min(F.when(F.col("own"), F.col("k"))).over(ahead), F.col("carry"))
     return rows.withColumn("found", found).where("not own").select(F.col("k").alias("target"), "found")
 
