@@ -98,11 +98,24 @@ def scanned(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__c", whole)
     rows = rows.withColumn("__c", F.when(F.size("__c") > 0, F.arrays_zip(spans.alias("span"), F.col("__c").alias("said"))).otherwise(F.lit([]).cast("array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>")))
 
+    # candidates outside base spans, in one sweep by start: `high` is the furthest end of the base spans so far
+    kinds = "struct<start:int,candidate:int,stop:int,x:struct<span:struct<start:int,kind:int,stop:int>,said:string>>"
+    of_base = F.transform("base", lambda s: F.struct(s["start"], F.lit(0), s["stop"], F.lit(None)).cast(kinds))
+    of_candidates = F.transform("__c", lambda x: F.struct(x["span"]["start"], F.lit(1), x["span"]["stop"], x).cast(kinds))
+    begin = F.struct(F.lit(0).alias("high"), F.lit([]).cast("array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>").alias("out"))
+
+    def sweep(acc: Column, s: Column) -> Column:
+        high = F.when(s["candidate"] == 0, F.greatest(acc["high"], s["stop"])).otherwise(acc["high"])
+        new = (s["candidate"] == 1) & (s["stop"] > acc["high"])
+        return F.struct(high.alias("high"), F.when(new, F.concat(acc["out"], F.array(s["x"]))).otherwise(acc["out"]).alias("out"))
+
+    fresh = F.aggregate(F.array_sort(F.concat(of_base, of_candidates)), begin, sweep, lambda acc: acc["out"])
+    rows = rows.withColumn("__c", F.when((F.size("__c") > 0) & (F.size("base") > 0), fresh).otherwise(F.col("__c")))
+
     def random(x: Column) -> Column:
         chars = F.filter(F.split(x["said"], ""), lambda c: c != "")
         bits = F.when(x["said"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(TEXT_BITS)
-        inside = F.exists("base", lambda s: (s["start"] <= x["span"]["start"]) & (s["stop"] >= x["span"]["stop"]))
-        return ~x["said"].rlike(ALLOWED) & ~inside & (window_entropy(chars) >= bits)
+        return ~x["said"].rlike(ALLOWED) & (window_entropy(chars) >= bits)
 
     found = F.transform(F.filter("__c", random), lambda x: x["span"])
     return rows.withColumn("spans", F.array_sort(F.concat("base", found))).drop("__t", "__c")
