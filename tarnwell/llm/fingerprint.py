@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.textkit import U64, mapped, mix64
 
-#: Code points in a gram and hashes in a window; both powers of two, so that doubling steps reach them.
-GRAM, WINDOW = 32, 64
+#: Code points in a gram and hashes in a window; both powers of two, so that doubling steps reach them. So short that about
+#: two hashes for nine code points stay and a shared passage of 15 code points is always met.
+GRAM, WINDOW = 8, 8
+#: Digits of fingerprints in a batch of results, about.
+BATCH_CHARS = 4_000_000
 _BASE = 0x5851F42D4C957F2D
 _LEAST = -(1 << 63)
 
@@ -142,6 +145,7 @@ def with_followers(docs: DataFrame) -> DataFrame:
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None
     out: list[tuple] = []
+    size = 0
     for b in batches:
         for part, copy, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("part", "copy", "doc_id", "text")), strict=True):
             text = text or ""
@@ -155,10 +159,11 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edited = was[: len(was) - cut] + text[:cut]
                 other = fingerprint(edited)
                 out.append((was_id, len(was), hashlib.sha256(edited.encode()).hexdigest(), as_text(was_own), as_text(other), likeness(was_hashes, np.sort(other[0])), likeness(was_hashes, hashes)))
+                size += len(out[-1][3]) + len(out[-1][4])
             held = None if copy else (part, doc_id, text, own, hashes)
-            if len(out) >= 256:
+            if size >= BATCH_CHARS:
                 yield _rows(out)
-                out = []
+                out, size = [], 0
     if out:
         yield _rows(out)
 

@@ -85,6 +85,17 @@ def test_op1(spark):
         assert math.isclose(got[i]["near_next"], 2 * (a & c).total() / (a.total() + c.total()))
 
 
+def test_op1_short_texts(spark):
+    """A short text with its last quarter replaced stays like itself, and a passage of a few words is met."""
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefghij klmnop") for _ in range(n)) for n in range(24, 128)]
+    near = {x["doc_id"]: x["near_edited"] for x in fingerprint.edited_likeness(table(spark, texts)).collect()}
+    assert len(near) == len(texts) and min(near.values()) > 0.15
+    shared = "five words of one passage"
+    a, b = (set(fingerprint.fingerprint(x * 9 + shared + y * 9)[0].tolist()) for x, y in (("one text ", " ends here"), ("another, ", " goes on")))
+    assert a & b
+
+
 def bags(texts):
     out = []
     for t in texts:
