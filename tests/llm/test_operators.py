@@ -386,6 +386,60 @@ def test_op10(spark):
         assert math.isclose(x["base_score"], want[3], rel_tol=1e-9) and math.isclose(x["score"], want[4], rel_tol=1e-9)
 
 
+def kneser_ney3(train, texts):
+    """Scores of texts by order 3, straight from the definition."""
+    def toks(t):
+        return [*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), 0]
+
+    three, pairs = Counter(), Counter()
+    for s in map(toks, train):
+        pairs["<", s[0]] += 1
+        three.update(zip(["<"] + s, s, s[1:], strict=False))
+    pairs.update((v, w) for _, v, w in three)
+    before = Counter(w for _, w in pairs)
+    v_size = len({w for _, w in pairs})
+    d3, d2, d1 = (ngrams.discounts(np.array([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])) for c in (three, pairs, before))
+    cut = lambda x, d: d[min(x, 3) - 1] if x else 0
+
+    def level(own, w, d, low):
+        return (max(own.get(w, 0) - cut(own.get(w, 0), d), 0) + sum(cut(x, d) for x in own.values()) * low) / sum(own.values()) if own else low
+
+    for text in texts:
+        score, s = 0, toks(text)
+        for i, w in enumerate(s):
+            p = level(before, w, d1, 1 / (v_size + 1)) if pairs else 1.0
+            v = s[i - 1] if i else "<"
+            p = level({k[1]: x for k, x in pairs.items() if k[0] == v}, w, d2, p)
+            if i:
+                u = s[i - 2] if i > 1 else "<"
+                p = level({k[2]: x for k, x in three.items() if k[:2] == (u, v)}, w, d3, p)
+            score += math.log10(p)
+        yield score
+
+
+def test_op10_order_three(spark, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["the", "The", "a", "cat", "dog", "é", f"w{r.randrange(40)}"]) for _ in range(r.randrange(0, 40))) for _ in range(40)]
+    texts += ["the cat sat " * 400, None, "", "never-seen words here", "the never-seen cat"]
+    docs = table(spark, texts)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["score"] for x in ngrams.op10_scores(spark, str(tmp_path)).collect()}
+    for i, want in enumerate(kneser_ney3(train, texts)):
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+    odd_docs, n = odd(spark)
+    for d, size in ((odd_docs, n), (docs.limit(0), 0), (docs.where("doc_id = 2"), 1)):
+        assert ngrams.scored(d, ngrams.learned(d, 3)).count() == size
+
+
+def test_triples_are_packed_exactly():
+    r = np.random.default_rng(1)
+    context, word = r.integers(0, 1 << 63, 50).astype(np.uint64)[r.integers(0, 50, 3000)], r.integers(0, 1 << 32, 90).astype(np.uint32)[r.integers(0, 90, 3000)]
+    want = Counter(zip(context.tolist(), word.tolist(), strict=True))
+    c, w, n = ngrams.unpack_triples(ngrams.pack_triples(*ngrams.triples(context, word)))
+    assert dict(zip(zip(c.tolist(), w.tolist(), strict=True), n.tolist(), strict=True)) == want
+
+
 def test_probabilities_sum_to_one(spark):
     model = ngrams.learned(table(spark, ["a b a b c", "b a", "c c a d", "a a b"]))
     for u in ("a", "b", "zz"):
