@@ -2,8 +2,9 @@ r"""Operator 8, secret scans in DataFrame functions only.
 
 Patterns give the base spans. The method adds strings that look random: in each candidate string a window slides over the
 characters; counts per character are kept up to date as one leaves and one enters, and with them the window's
-Shannon entropy. A string is a secret if some window reaches its class's entropy (hexadecimal, or letters, digits and signs) and no
-allow-list entry holds: letters alone, digits alone, a word of the list, or a span that the base already has.
+Shannon entropy. A string is a secret if some window reaches its class's entropy and no allow-list entry holds: letters alone, digits
+alone, a word of the list, or a span that is found already. First whole runs of letters, digits and signs are tried (hexadecimal, or
+not); what they leave is split into ever narrower runs (CLASSES), each with its own entropy and held against the allow-list by itself.
 
 Places are code points, ends exclusive. The pieces between matches (split) and the matches give a match's place, so each
 text is scanned in linear time. Defined cases: a null text is empty and has no spans; equal rows have equal results; columns named like those
@@ -13,6 +14,7 @@ of the result are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +27,25 @@ BASE = {
 }
 ENTROPY = "entropy"
 KINDS = (*BASE, ENTROPY)
-#: Characters in a window and bits that one must reach: hexadecimal, and other strings.
-WINDOW, HEX_BITS, TEXT_BITS = 20, 3.1, 3.9
+#: Characters in a window and bits that one must reach: hexadecimal, letters of one case with digits, and other strings.
+WINDOW, HEX_BITS, ALNUM_BITS, TEXT_BITS = 20, 3.1, 3.5, 3.9
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{WINDOW},}}"
+#: A run of some characters, whole, with no sample's name in its word of letters and digits nor after it in the candidate (keys made
+#: for documents end so, and may hold a slash); a sample's name in a piece before it, as in a path, says nothing about it.
+_SAMPLE = "(?i:example|sample|dummy|placeholder)"
+_PART = rf"(?<![{{0}}])(?<!{_SAMPLE}[A-Za-z0-9]{{{{0,40}}}})[{{0}}]{{{{{WINDOW},}}}}+(?![A-Za-z0-9+/_-]{{{{0,100}}}}{_SAMPLE})"
+#: Runs inside a candidate, widest first, and the bits of each.
+CLASSES = (
+    (_PART.format("A-Za-z0-9+_-"), TEXT_BITS),
+    (_PART.format("A-Za-z0-9"), TEXT_BITS),
+    (f"{_PART.format('a-z0-9')}|{_PART.format('A-Z0-9')}", ALNUM_BITS),
+    (f"{_PART.format('0-9a-f')}|{_PART.format('0-9A-F')}", HEX_BITS),
+)
 #: What is no secret however random: letters alone, digits alone, samples.
-ALLOWED = r"^[A-Za-z]+$|^[0-9]+$|(?i:example|sample|dummy|placeholder)"
+ALLOWED = rf"^[A-Za-z]+$|^[0-9]+$|{_SAMPLE}"
 MASK = "[SECRET]"
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
+_SAID = "array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>"
 
 
 def _found(text: Column, pattern: str, kind: int, group: int, least: int) -> tuple[Column, Column]:
@@ -94,31 +108,44 @@ def scanned(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"__s{kind}", F.when(F.size(f"__m{kind}") > 0, spans).otherwise(F.lit([]).cast(_SPANS)))
         parts.append(f"__s{kind}")
     rows = rows.withColumn("base", F.array_sort(F.concat(*parts))).drop(*parts, *[f"__m{k}" for k in range(len(BASE))])
-    whole, spans = _found(text, CANDIDATE, len(BASE), 0, WINDOW)
-    rows = rows.withColumn("__c", whole)
-    rows = rows.withColumn("__c", F.when(F.size("__c") > 0, F.arrays_zip(spans.alias("span"), F.col("__c").alias("said"))).otherwise(F.lit([]).cast("array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>")))
-
-    # candidates outside base spans, in one sweep by start: `high` is the furthest end of the base spans so far
-    kinds = "struct<start:int,candidate:int,stop:int,x:struct<span:struct<start:int,kind:int,stop:int>,said:string>>"
-    of_base = F.transform("base", lambda s: F.struct(s["start"], F.lit(0), s["stop"], F.lit(None)).cast(kinds))
+    rows = rows.withColumn("spans", F.col("base"))
+    for k, (pattern, bits) in enumerate([(CANDIDATE, None), *CLASSES]):
+        # without a candidate there is nothing to split
+        whole, spans = _found(text if k == 0 else F.when(F.col("__any"), text).otherwise(""), pattern, len(BASE), 0, WINDOW)
+        rows = rows.withColumn("__c", whole)
+        if k == 0:
+            rows = rows.withColumn("__any", F.size("__c") > 0)
+        rows = rows.withColumn("__c", F.when(F.size("__c") > 0, F.arrays_zip(spans.alias("span"), F.col("__c").alias("said"))).otherwise(F.lit([]).cast(_SAID)))
+        rows = rows.withColumn("__c", F.when((F.size("__c") > 0) & (F.size("spans") > 0), _fresh()).otherwise(F.col("__c")))
+        found = F.transform(F.filter("__c", _random(bits)), lambda x: x["span"])
+        rows = rows.withColumn("spans", F.when(F.size("__c") > 0, F.array_sort(F.concat("spans", found))).otherwise(F.col("spans")))
+    return rows.drop("__t", "__c", "__any")
+
+
+def _fresh() -> Column:
+    """Candidates (__c) outside spans, in one sweep by start: `high` is the furthest end of the spans so far."""
+    kinds = f"struct<start:int,candidate:int,stop:int,x:{_SAID[6:-1]}>"
+    of_spans = F.transform("spans", lambda s: F.struct(s["start"], F.lit(0), s["stop"], F.lit(None)).cast(kinds))
     of_candidates = F.transform("__c", lambda x: F.struct(x["span"]["start"], F.lit(1), x["span"]["stop"], x).cast(kinds))
-    begin = F.struct(F.lit(0).alias("high"), F.lit([]).cast("array<struct<span:struct<start:int,kind:int,stop:int>,said:string>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("high"), F.lit([]).cast(_SAID).alias("out"))
 
     def sweep(acc: Column, s: Column) -> Column:
         high = F.when(s["candidate"] == 0, F.greatest(acc["high"], s["stop"])).otherwise(acc["high"])
         new = (s["candidate"] == 1) & (s["stop"] > acc["high"])
         return F.struct(high.alias("high"), F.when(new, F.concat(acc["out"], F.array(s["x"]))).otherwise(acc["out"]).alias("out"))
 
-    fresh = F.aggregate(F.array_sort(F.concat(of_base, of_candidates)), begin, sweep, lambda acc: acc["out"])
-    rows = rows.withColumn("__c", F.when((F.size("__c") > 0) & (F.size("base") > 0), fresh).otherwise(F.col("__c")))
+    return F.aggregate(F.array_sort(F.concat(of_spans, of_candidates)), begin, sweep, lambda acc: acc["out"])
+
+
+def _random(bits: float | None) -> Callable[[Column], Column]:
+    """Whether a candidate looks random; bits: those of its class, None for a whole run, which has those of what it holds."""
 
-    def random(x: Column) -> Column:
+    def test(x: Column) -> Column:
         chars = F.filter(F.split(x["said"], ""), lambda c: c != "")
-        bits = F.when(x["said"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(TEXT_BITS)
-        return ~x["said"].rlike(ALLOWED) & (window_entropy(chars) >= bits)
+        least = F.lit(bits) if bits else F.when(x["said"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), HEX_BITS).otherwise(TEXT_BITS)
+        return ~x["said"].rlike(ALLOWED) & (window_entropy(chars) >= least)
 
-    found = F.transform(F.filter("__c", random), lambda x: x["span"])
-    return rows.withColumn("spans", F.array_sort(F.concat("base", found))).drop("__t", "__c")
+    return test
 
 
 def named(spans: Column) -> Column:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -323,6 +324,21 @@ def test_op8(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_op8_tokens_inside_runs(spark):
+    """Random tokens joined to other characters, of few symbols, or after a sample's name; and what is no secret."""
+    r = random.Random(10)
+    draw = lambda symbols, n: "".join(r.choice(symbols) for _ in range(n))
+    digits = string.digits
+    kinds = [(digits + "ABCDEF", 40, ("key-", "sk_", "v1/")), (digits + "abcdef", 30, ("key-", "sk_", "v1/")), *((digits + string.ascii_lowercase, n, ("", "id-")) for n in (20, 32, 40)), (digits + string.ascii_letters, 40, ("samples/", "sample-"))]
+    for symbols, n, heads in kinds:
+        for head in heads:
+            tokens = [draw(symbols, n) for _ in range(50)]
+            got = {x["doc_id"]: x["spans"] for x in secrets.secrets(table(spark, [f"a {head}{t} b" for t in tokens])).collect()}
+            assert sum(any(int(a) <= 2 + len(head) and int(b) == 2 + len(head) + n for _, a, b in (y.split(":") for y in x.split(",") if y)) for x in got.values()) >= 45, (head, n)
+    calm = ["a-page-of-2024/a-page-of-2025", "samples/example0123456789abcdefdummy", "1234567890" * 3, "thisisaverylongwordwithoutanyspaces", "tests/llm/test_sets_of_tests.py"]
+    assert [x["spans"] for x in secrets.secrets(table(spark, calm)).collect()] == [""] * len(calm)
+
+
 def test_bounds():
     r = random.Random(3)
     for _ in range(60):
