@@ -124,18 +124,29 @@ def expand(conversations: DataFrame) -> DataFrame:
 
 
 def written_out(examples: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_begin, loss_end: full texts of examples as expand() gives them, in its order."""
+    """conv_id, example, text, loss_begin, loss_end: full texts of examples as expand() gives them, whatever order they come in.
+
+    Rows are dealt by conversation and sorted by begin; one that does not begin where the text so far ends is an error.
+    """
     schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_begin", pa.int64()), ("loss_end", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = ""
+        conv, text = None, ""
         for b in batches:
             for x in b.to_pylist():
-                text = x["delta"] if x["begin"] == 0 else text + x["delta"]
+                if x["begin"] == 0 or x["conv_id"] != conv:
+                    conv, text = x["conv_id"], ""
+                if x["begin"] != len(text):
+                    raise ValueError(f"conversation {conv}, example {x['example']} begins at {x['begin']}, but the text before it has {len(text)} characters")
+                text += x["delta"]
+                if len(text) != x["chars"]:
+                    raise ValueError(f"conversation {conv}, example {x['example']} has {x['chars']} characters, but its text has {len(text)}")
                 if x["example"] >= 0:
                     yield _batch([(x["conv_id"], x["example"], text, x["loss_begin"], x["loss_end"])], schema)
 
-    return mapped(examples, work, "conv_id long, example long, text string, loss_begin long, loss_end long")
+    parts = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = examples.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "begin")
+    return mapped(dealt, work, "conv_id long, example long, text string, loss_begin long, loss_end long")
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])

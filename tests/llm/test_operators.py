@@ -242,6 +242,21 @@ def test_op5(spark):
     assert chat.read_back(chat.expand(c.limit(0))).count() == 0
 
 
+def test_op5_written_out_of_a_stored_table(spark):
+    """Whatever order the rows have when read back, examples hold their whole context; a missing row is an error."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"conversation {c} turn {t}") for c in range(3) for t in range(40)]
+    e = chat.expand(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    mixed = spark.createDataFrame(random.Random(5).sample(e.collect(), 60), e.schema).repartition(7)
+    got = chat.written_out(mixed).collect()
+    assert len(got) == 60
+    for x in got:
+        turns = chat.turns_in(x["text"])
+        assert turns == [(a, b) for c, _, a, b in rows if c == x["conv_id"]][: 2 * x["example"] + 2]
+        assert x["text"][x["loss_begin"] : x["loss_end"]] == turns[-1][1]
+    with pytest.raises(Exception, match="begins at"):
+        chat.written_out(mixed.where("not (conv_id = 1 and example = 7)")).collect()
+
+
 def test_op6(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     s = quality.statistics(pa.array([d["text"] for d in docs] + [None]))
