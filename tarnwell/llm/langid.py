@@ -10,8 +10,8 @@ count as a-z. The language with the shortest code wins; ties go to the first in
 
 score is the winner's share of 2 ** -(bits per byte), over all languages: 0 to 1.
 
-Learning takes a bounded sample of the rows with a language: about SAMPLE_ROWS texts of each language of at most
-SAMPLE_CHARS code points, chosen by a hash of doc_id. Every text is then predicted whole.
+Learning takes a bounded sample of the rows with a language: of every language, however many there are, the SAMPLE_ROWS
+texts of at most SAMPLE_CHARS code points with the least hashes of doc_id and text; repeated rows count once. Every text is then predicted whole.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; rows with a null language are never learned from;
 with no rows to learn from, every text is `und`. A null doc_id counts as an empty string for the fold. Other columns are ignored.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.textkit import U64, Words, chunks, mapped, sums_by_row
@@ -207,12 +207,13 @@ def held_out() -> Column:
 def learned(docs: DataFrame) -> LanguageModel:
     """A model of a bounded sample of the rows with a language outside the held-out fold."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect())
-    share = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE_ROWS / n) * 1_000_000)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
-    return train([tuple(r) for r in sample.orderBy("lang", "text").limit(2 * SAMPLE_ROWS * max(1, len(counts))).collect()])
+    rows = rows.select("lang", "text", F.xxhash64(F.lit("ppm"), "doc_id", "text").alias("h"))
+    # the hashes alone are ranked; Spark keeps the least of each language within a task before it shuffles them
+    least = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS)
+    bounds = ranked.groupBy("lang").agg(F.max("h").alias("bound"))
+    sample = rows.join(F.broadcast(bounds), "lang").where("h <= bound").dropDuplicates(["lang", "h"]).select("lang", "text")
+    return train(sorted(tuple(r) for r in sample.collect()))
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:

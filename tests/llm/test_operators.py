@@ -220,6 +220,12 @@ def test_op4(spark):
     assert model.predict(pa.array([None, "", "123 !", "words"]))[0] == ["und", "und", "und", "en"]
 
 
+def test_op4_learns_every_language(spark):
+    """More than 256 languages, one of them with many rows of one doc_id."""
+    rows = [(4, f"often said {i}", "l000", "s", 1) for i in range(600)] + [(4, f"word{k} of this", f"l{k:03}", "s", 1) for k in range(1, 270)]
+    assert langid.learned(spark.createDataFrame(rows, DOCS)).names == [f"l{k:03}" for k in range(270)]
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "a\\n\nb<|im_end|>"]), st.text(alphabet="<\\|im_endstar>\n é", max_size=30)), max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_chat_round_trip(turns):
