@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnwell.llm import chat, fingerprint, langid, neardup, ngrams, packing, pieces, quality, registry, secrets, textkit, urls
 
@@ -351,15 +353,36 @@ def test_op8_tokens_inside_runs(spark):
     draw = lambda symbols, n: "".join(r.choice(symbols) for _ in range(n))
     digits = string.digits
     kinds = [(digits + "ABCDEF", 40, ("key-", "sk_", "v1/")), (digits + "abcdef", 30, ("key-", "sk_", "v1/")), *((digits + string.ascii_lowercase, n, ("", "id-")) for n in (20, 32, 40)), (digits + string.ascii_letters, 40, ("samples/", "sample-"))]
-    for symbols, n, heads in kinds:
-        for head in heads:
-            tokens = [draw(symbols, n) for _ in range(50)]
-            got = {x["doc_id"]: x["spans"] for x in secrets.secrets(table(spark, [f"a {head}{t} b" for t in tokens])).collect()}
-            assert sum(any(int(a) <= 2 + len(head) and int(b) == 2 + len(head) + n for _, a, b in (y.split(":") for y in x.split(",") if y)) for x in got.values()) >= 45, (head, n)
+    cases = [(head, n, draw(symbols, n)) for symbols, n, heads in kinds for head in heads for _ in range(50)]
+    got = {x["doc_id"]: x["spans"] for x in secrets.secrets(table(spark, [f"a {head}{t} b" for head, _, t in cases])).collect()}
+    found = Counter()
+    for i, (head, n, _) in enumerate(cases):
+        found[head, n] += any(int(a) <= 2 + len(head) and int(b) == 2 + len(head) + n for _, a, b in (y.split(":") for y in got[i].split(",") if y))
+    assert all(found[head, n] >= 45 * sum(c[:2] == (head, n) for c in cases) // 50 for head, n, _ in cases), found
     calm = ["a-page-of-2024/a-page-of-2025", "samples/example0123456789abcdefdummy", "1234567890" * 3, "thisisaverylongwordwithoutanyspaces", "tests/llm/test_sets_of_tests.py"]
     assert [x["spans"] for x in secrets.secrets(table(spark, calm)).collect()] == [""] * len(calm)
 
 
+def test_op8_long_runs(spark):
+    """A run of a million characters takes seconds, and windows that reach over the ends of pieces count."""
+    r = random.Random(12)
+    symbols = string.ascii_letters + string.digits + "+/"
+    key = "".join(r.sample(symbols, 20))
+    texts = ["".join(r.choice(symbols) for _ in range(1_000_000)), "xy1" * 1365 + key + "xy1" * 2000, "xy1" * 4000, " ".join(f"password=pass{i:07}word" for i in range(3000))]
+    assert texts[1][4095 : 4095 + 20] == key
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.secrets(table(spark, texts)).collect()}
+    gone = {x["doc_id"]: x["text"] for x in secrets.masked(table(spark, texts)).collect()}
+    assert time.time() - began < 60
+    assert [got[0], got[1], got[2]] == ["entropy:0:1000000", f"entropy:0:{len(texts[1])}", ""]
+    assert len(got[3].split(",")) == 3000 and gone == {0: secrets.MASK, 1: secrets.MASK, 2: texts[2], 3: " ".join([secrets.MASK] * 3000)}
+    runs = ["".join(r.choice("abAB01") for _ in range(r.choice([5, 19, 20, 21, 300]))) for _ in range(40)]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in runs], "s string").select(secrets.window_entropy(F.col("s"))).collect()]
+    for x, bits in zip(runs, got, strict=True):
+        windows = [Counter(x[i : i + 20]) for i in range(len(x) - 19)]
+        assert math.isclose(bits, max((-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows), default=0), abs_tol=1e-9)
+
+
 def test_bounds():
     r = random.Random(3)
     for _ in range(60):
