@@ -186,7 +186,29 @@ def test_op3(spark):
     for text, ids in zip(texts, model.encode(texts), strict=True):
         want = sp.encode(text, add_bos=True, add_eos=True)
         assert np.frombuffer(ids, "<u4").tolist() == want and model.decode(ids) == sp.decode(want)
-    assert pieces.op3_sentencepiece(spark, SF).count() == 200
+    got = {x["doc_id"]: x for x in pieces.op3_sentencepiece(spark, SF).collect()}
+    assert len(got) == 200
+    for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = sp.encode(x["text"], add_bos=True, add_eos=True)
+        assert got[x["doc_id"]]["n_tokens"] == len(ids) and got[x["doc_id"]]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[x["doc_id"]]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_op3_long_segments():
+    """Long texts without spaces are merged in windows, and take seconds."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    model = pieces.Pieces(MODEL)
+    r = random.Random(2)
+    words = ["the", "ing", "aaaa", "tion", "a", "b", "er", "und", "zz", "abab", "日", "é"]
+    texts = ["".join(r.choice(words) for _ in range(n)) for n in (100, 300, 3000, 40_000)] + ["ab" * 5000, "a" * 9999, "aab" * 3000, "xyz" + "a" * 777 + "the" * 300 + "a" * 778]
+    texts += ["".join(r.choice(string.ascii_lowercase) for _ in range(300_000))]
+    began = time.time()
+    got = model.encode(texts)
+    assert time.time() - began < 60
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
 
 
 def test_code_lengths():
@@ -516,7 +538,7 @@ def test_odd_tables(spark, name):
     run = {
         "op1": fingerprint.edited_likeness,
         "op2": neardup.near_duplicates,
-        "op3": lambda d: pieces.digests(d, MODEL),
+        "op3": lambda d: pieces.digests(pieces.tokenised(d, MODEL)),
         "op4": lambda d: langid.identified(d, langid.learned(d)),
         "op6": lambda d: quality.judged(d, quality.learned(d, labels)),
         "op8": secrets.secrets,
