@@ -8,6 +8,7 @@ making Python strings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,8 +49,10 @@ def randoms(n: int) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts don't pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the rows of an Arrow batch, so that very long texts don't pile up in one; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -125,9 +128,11 @@ def sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one, if all runs on one machine."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tarnwell.shared.dir", None)
     if not there:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
         spark.conf.set("tarnwell.shared.dir", there)
     return there.rstrip("/")

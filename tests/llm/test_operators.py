@@ -423,15 +423,35 @@ def test_bounds():
 
 def test_op9(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = packing.packed(docs, max_tokens=300, budget=2000, shard_rows=20).collect()
-    total = Counter()
+    model, end = packing.encoding(packing.vocabulary())
+    rows = packing.packed(docs, packing.vocabulary(), max_tokens=300, budget=2000, shard_tokens=4000).collect()
+    said = {}
     for x in rows:
-        total[x["doc_id"]] += x["n_tokens"]
-        assert x["n_tokens"] <= x["bound"] <= 300
-    assert total == {d["doc_id"]: len(WORD.findall(d["text"])) + 1 for d in docs.collect()}
+        ids = np.frombuffer(x["ids"], "<u2").tolist()
+        assert len(ids) == x["n_tokens"] <= x["bound"] <= 300
+        said.setdefault(x["doc_id"], {})[x["part"]] = ids
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+    assert said.keys() == texts.keys()
+    for i, parts in said.items():
+        ids = [t for k in range(len(parts)) for t in parts[k]]
+        assert ids == [*model.encode_ordinary(texts[i]), end] and model.decode(ids[:-1]) == texts[i]
+        assert all(len(parts[k]) == 300 for k in range(len(parts) - 1))
+    # no batch is over the budget, and only a shard's last one has room for another sequence
     batches = Counter((x["bound"], x["shard"], x["batch"]) for x in rows)
-    assert all(n * b <= 2000 for (b, _, _), n in batches.items())
-    assert packing.packed(docs.limit(0)).count() == 0
+    last = {(b, s): max(k for c, t, k in batches if (c, t) == (b, s)) for b, s, _ in batches}
+    assert all(n * b <= 2000 and (k == last[b, s] or (n + 1) * b > 2000) for (b, s, k), n in batches.items())
+    assert len({s for _, s, _ in batches}) > 1
+    lengths = Counter(x["n_tokens"] for x in rows)
+    bounds = packing.best_bounds(np.array(sorted(lengths)), np.array([lengths[n] for n in sorted(lengths)]), packing.BUCKETS)
+    assert all(x["bound"] == min(b for b in bounds if b >= x["n_tokens"]) for x in rows)
+    assert packing.packed(docs.limit(0), packing.vocabulary()).count() == 0
+
+
+def test_op9_hot_ids(spark):
+    """Rows of one doc_id, or of none, are dealt over all shards."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, "the same words", "en", "s", 1) for i in range(600)], DOCS)
+    shards = Counter(x["shard"] for x in packing.packed(docs, packing.vocabulary(), shard_tokens=300).collect())
+    assert len(shards) == 8 and max(shards.values()) < 150
 
 
 def kneser_ney(train, text):
@@ -542,11 +562,11 @@ def test_odd_tables(spark, name):
         "op4": lambda d: langid.identified(d, langid.learned(d)),
         "op6": lambda d: quality.judged(d, quality.learned(d, labels)),
         "op8": secrets.secrets,
-        "op9": packing.packed,
+        "op9": lambda d: packing.packed(d, packing.vocabulary()),
         "op10": lambda d: ngrams.scored(d, ngrams.learned(d)),
     }[name]
     got = run(docs).collect()
-    assert len(got) == (n if name != "op9" else sum(math.ceil((len(WORD.findall(r["text"] or "")) + 1) / packing.MAX_TOKENS) for r in docs.collect()))
+    assert len(got) == (n if name != "op9" else sum(math.ceil((len(packing.encoding(packing.vocabulary())[0].encode_ordinary(r["text"] or "")) + 1) / packing.MAX_TOKENS) for r in docs.collect()))
     assert run(docs.limit(0)).count() == 0
     one = docs.where("doc_id = 2")
     assert run(one).count() == 1
