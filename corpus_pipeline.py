@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.llm.langid import in_a_language
 from tarnwell.llm.neardup import one_of_each
-from tarnwell.llm.packing import packed
+from tarnwell.llm.packing import packed, vocabulary
 from tarnwell.llm.quality import only_kept
 from tarnwell.llm.secrets import masked
 from tarnwell.llm.textkit import new_path
@@ -33,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences with their buckets and batches."""
-    return packed(docs)
+    """Sequences of tokens with their buckets and batches."""
+    return packed(docs, vocabulary())
 
 
 STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
