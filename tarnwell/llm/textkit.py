@@ -25,8 +25,8 @@ BATCH_ROWS = 1000
 U64 = np.uint64
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Words:
 
     def __init__(self, column: pa.Array, lower: bool = False):
         data, self.offsets = flat(column)
-        self.data = _LOWER[data] if lower else data
+        self.data = LOWER[data] if lower else data
         self.n_rows = len(self.offsets) - 1
         inside = _IS_WORD[data]
         cut = np.zeros(len(data) + 1, bool)

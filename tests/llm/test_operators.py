@@ -211,27 +211,58 @@ def test_op3_long_segments():
         assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text, add_bos=True, add_eos=True)
 
 
+class SlowPpm:
+    """Prediction by partial matching straight from the definition: one byte at a time, counts in dicts, sets of excluded bytes."""
+
+    def __init__(self, texts, order=4):
+        self.order, self.seen = order, {}
+        for t in texts:
+            for context, c in self.bytes_of(t):
+                for k in range(order + 1):
+                    self.seen.setdefault(context[order - k :], Counter())[c] += 1
+
+    def bytes_of(self, text):
+        raw = b"\n" * self.order + "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode()
+        return [(raw[i - self.order : i], raw[i]) for i in range(self.order, len(raw))]
+
+    def probability(self, context, c):
+        p, out = 1.0, set()
+        for k in range(self.order, -1, -1):
+            counts = self.seen.get(context[self.order - k :])
+            if counts is None:
+                continue
+            left = {x: n for x, n in counts.items() if x not in out}
+            total, kinds = sum(left.values()), len(left)
+            if c in left:
+                return p * left[c] / (total + kinds)
+            p *= kinds / (total + kinds) if kinds else 1
+            out |= set(counts)
+        return p / max(1, 256 - len(self.seen.get(b"", ())))
+
+
 def test_code_lengths():
-    """Costs of all bytes after a context are a full code: their probabilities sum to 1."""
-    model = langid.train([("a", "the cat sat on the mat. the rat ate the cat"), ("b", "le chat est sur le tapis")])
+    """Texts cost what a slow coder takes, byte for byte, and all bytes after a context are a full code."""
+    r = random.Random(5)
+    said = {"a": ["the cat sat on the mat. the rat ate the cat\n", "THE END"], "b": ["le chat est sur le tapis", "l'été\n\nest là"], "c": ["x"]}
+    model = langid.train([(x, t) for x, ts in said.items() for t in ts])
+    texts = ["the rat  sat", "Le chat\test là 日", "", "zzz", *("".join(r.choice("theca tsé\n.") for _ in range(r.randrange(1, 60))) for _ in range(40))]
+    total, size = model.lengths(pa.array(texts))
+    slow = [SlowPpm(said[x]) for x in model.names]
+    for text, costs, n in zip(texts, total, size, strict=True):
+        assert n == len(text.encode())
+        assert np.allclose(costs, [-sum(math.log2(p.probability(*x)) for x in p.bytes_of(text)) for p in slow], rtol=1e-6)
     for tree in model.trees:
-        for context in (b" ", b" t", b" the", b" zz"):
-            p = 0.0
-            for c in range(256):
-                data = np.frombuffer(context + bytes([c]), np.uint8)
-                inside = np.arange(len(data))
-                p += 2 ** -tree.bits(data, inside)[-1]
-            assert math.isclose(p, 1, rel_tol=1e-9)
+        for context in (b" the", b"\n\n\n\n", b"hat ", b"zzzz"):
+            assert math.isclose(sum(2 ** -tree.bits(np.array([int.from_bytes(context + bytes([c])) for c in range(256)], np.uint64))), 1, rel_tol=1e-9)
 
 
-def test_word_costs_are_those_of_their_bytes():
-    r = random.Random(4)
-    model = langid.train([("a", "the cat sat on the mat. the rat ate the cat"), ("b", "le chat est sur le tapis")])
-    words = [bytes(r.choice(b"theca\xc3\xa9\x00z") for _ in range(r.randrange(0, 9))) for _ in range(300)]
-    got = model.word_bits(words)
-    for w, costs in zip(words, got, strict=True):
-        data, inside, _ = langid.spaced([w])
-        assert np.allclose(costs, [t.bits(data, inside).sum() for t in model.trees], rtol=1e-12)
+def test_costs_that_are_kept(monkeypatch):
+    """Costs are the same whether or not a worker still keeps them."""
+    model, other = (langid.train([("a", "the cat sat on the mat. the rat ate the cat"), ("b", "le chat est sur le tapis")]) for _ in range(2))
+    texts = ["the cat", "le chat", "quite another", "the cat"]
+    want = [model.lengths(pa.array([t]))[0].tolist() for t in texts]
+    monkeypatch.setattr(langid, "KEPT", 20)
+    assert want == [other.lengths(pa.array([t]))[0].tolist() for t in texts]
 
 
 def test_op4(spark):
@@ -241,7 +272,17 @@ def test_op4(spark):
     own = [r for r in rows if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in own) > 0.95 * len(own)
     model = langid.train([("en", "some words")])
-    assert model.predict(pa.array([None, "", "123 !", "words"]))[0] == ["und", "und", "und", "en"]
+    assert model.predict(pa.array([None, "", "123 !", "words", "²", "½ ①", "Ⅷ", "1ª"]))[0] == ["und", "und", "und", "en", "und", "und", "und", "en"]
+
+
+def test_op4_rejects_a_language_left_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learned(docs.where("lang <> 'de'"))
+    assert model.names == ["en", "es", "fr"] and set(model.limits) == set(model.names)
+    rows = [(r["lang"], r["text"]) for r in docs.collect() if len(r["text"] or "") > 800]
+    home = model.at_home(pa.array([t for _, t in rows]))
+    foreign, own = ([h for (x, _), h in zip(rows, home, strict=True) if (x == "de") == f] for f in (True, False))
+    assert len(foreign) > 50 and sum(foreign) <= 0.02 * len(foreign) and sum(own) >= 0.99 * len(own)
 
 
 def test_op4_learns_every_language(spark):

@@ -1,5 +1,7 @@
 """Stages of the pipeline, each on what its predecessor kept."""
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tarnwell.llm import langid, neardup, quality, secrets
 
@@ -16,8 +18,9 @@ def test_stages(spark, tmp_path):
         assert name == "packing" or docs.columns == names
     before, after = kept["language"]
     model = langid.learned(before)
-    want = {r["doc_id"] for r in langid.identified(before, model).collect() if r["lang_pred"] != "und" and r["bits"] <= langid.FOREIGN_BITS}
-    assert {r["doc_id"] for r in after.collect()} == want
+    rows = before.collect()
+    home = model.at_home(pa.array([r["text"] for r in rows]))
+    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r, h in zip(rows, home, strict=True) if h}
     before, after = kept["quality"]
     rules = quality.learned(before, spark.read.parquet(f"{SF}/labels.parquet"))
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in quality.judged(before, rules).where("kept").collect()}
