@@ -9,12 +9,13 @@ multisets. Bands of ROWS components give candidates; candidates whose signatures
 conceivable are verified by the exact weighted Jaccard similarity; classes are the connected components of
 verified links.
 
-No bucket is expanded into pairs: its members are compared with its least member. Where a bucket of three or more
+Equal texts are one node from the start. No bucket is expanded into pairs: its members are compared with its least member. Where a bucket of three or more
 still holds several classes after that, its members are compared in blocks, and only links that connect
-classes leave the comparison. Equal texts are one node from the start.
+classes leave the comparison.
 
-Defined cases: null texts and texts without words are alike to nothing; rows that share a doc_id are one
-document; a null doc_id has no class (class_id null) and links nothing. Other columns are ignored.
+Defined cases: classes are of texts, so rows that share a doc_id but not the text may be in different classes; null texts and texts
+without words are alike to nothing, each a class of its own; a class's id is its least doc_id, null if all of its rows have none;
+repeated rows are in one class. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tarnwell.llm.textkit import U64, Words, chunks, mapped, mix64, randoms, written
 
@@ -150,16 +152,17 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
+def _keys(column: pa.Array, counts: np.ndarray) -> list[bytes | None]:
+    """A 128-bit key of each text; None for one without words."""
+    return [hashlib.blake2b(t.encode(), digest_size=16).digest() if n else None for t, n in zip(column.to_pylist(), counts.tolist(), strict=True)]
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in chunks(batch):
             words = Words(b.column("text"))
-            sig = signatures(words)
-            keys = []
-            for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                own = text.encode() if words.counts[i] else f"\0{doc_id}".encode()
-                keys.append(hashlib.blake2b(own, digest_size=16).digest())
-            sigs = [sig[i].tobytes() if words.counts[i] else None for i in range(len(keys))]
+            sig, keys = signatures(words), _keys(b.column("text"), words.counts)
+            sigs = [x.tobytes() if k else None for x, k in zip(sig, keys, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "key", "sig"])
 
 
@@ -174,7 +177,7 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in chunks(batch):
             words = Words(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(levels(*shingles(words), words.n_rows), pa.binary())], ["node", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(b.column("text"), words.counts), pa.binary()), pa.array(levels(*shingles(words), words.n_rows), pa.binary())], ["key", "bag"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +212,7 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def joined_small(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+def joined_small(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """df joined with a table of ids: by broadcast if it is counted to be small, else by a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
 
@@ -235,31 +238,47 @@ def classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return written(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct(), "classes")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (the least doc_id of its class) of every row, and kept (doc_id = class_id)."""
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and key of each row, and for each key its class_id and whether the row with doc_id `doc` is the one that stays of its class."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(mapped(docs, _signed, "doc_id long, key binary, sig binary"), "signatures")
-    # a node for each text; its copies are members from the start
-    nodes = written(signed.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
+    # a node for each text, numbered once written; doc: the least doc_id that has it
+    nodes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     links = written(_links(docs, nodes), "links")
     comps = classes(links)
     more = _rest(docs, nodes, comps)
     if more is not None:
         comps = classes(links.select("a", "b").unionAll(more.select("a", "b")))
-    of = nodes.join(comps, "node", "left").select("key", F.coalesce("comp", "node").alias("class_id"))
-    ids = signed.select("doc_id", "key").join(of, "key", "left")
-    return ids.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    linked = nodes.select("node", "doc").join(comps, "node")
+    least = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "node")).alias("head"))
+    heads = written(linked.join(least, "comp").select("node", F.col("head.doc").alias("class_id"), (F.col("head.node") == F.col("node")).alias("first")), "heads")
+    of = nodes.select("key", "doc", "node").join(heads, "node", "left")
+    return signed.select("doc_id", "key"), of.select("key", "doc", F.when(F.col("first").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and kept (whether it is the one that stays of its class) of every row."""
+    rows, of = _classified(docs)
+    both = rows.join(of, "key", "left")
+    return both.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("key").isNull() | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("doc")))).alias("kept"))
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
     band = F.posexplode(F.expr(f"transform(sequence(0, {M // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {2 * ROWS} + 1, {2 * ROWS})))"))
-    return nodes.where("sig is not null").select(band.alias("pos", "band"), "node")
+    return nodes.select(band.alias("pos", "band"), "node")
+
+
+_NO_ID = -(1 << 63)
 
 
-def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, bag: the multisets of the texts of some documents (doc_id), which alone are read again."""
-    ids = written(ids.distinct(), "ids")
-    return written(mapped(joined_small(docs, ids, "doc_id", "left_semi"), _multisets, "node long, bag binary"), "bags")
+def _bags(docs: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, bag: the multisets of the texts of some nodes, which alone are read again."""
+    own = written(nodes.select("node", "key", F.coalesce("doc", F.lit(_NO_ID)).alias("id")).join(ids.distinct(), "node", "left_semi"), "wanted")
+    found = joined_small(docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text"), own.select("id").distinct(), "id", "left_semi")
+    # a doc_id may have other texts, and a text several rows with that id
+    bags = joined_small(mapped(found.select("text"), _multisets, "key binary, bag binary"), own.select("key", "node"), "key", "inner")
+    return written(bags.groupBy("node").agg(F.first("bag").alias("bag")), "bags")
 
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -267,20 +286,20 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bands = _bands(nodes).select("band", "node")
     heads = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
     pairs = bands.join(heads, "band").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    return _exact(docs, _plausible(pairs, nodes))
+    return _exact(docs, nodes, _plausible(pairs, nodes))
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in enough components."""
-    own = nodes.where("sig is not null").select("node", "sig")
+    own = nodes.select("node", "sig")
     both = pairs.join(own.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(own.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     return mapped(both, _likely, "a long, b long")
 
 
-def _exact(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _exact(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with a weighted Jaccard similarity of at least SIMILARITY; only texts in a pair are read again in full."""
     pairs = written(pairs, "pairs")
-    bags = _bags(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")))
+    bags = _bags(docs, nodes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
     both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
     return mapped(both, _verified, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
@@ -296,7 +315,7 @@ def _rest(docs: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame | No
     members = written(bands.join(mixed, ["band", "pos"]), "mixed")
     if members.isEmpty():
         return None
-    bags = _bags(docs, members.select(F.col("node").alias("doc_id")))
+    bags = _bags(docs, nodes, members.select("node"))
     members = members.join(nodes.select("node", "sig").join(bags, "node"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
     dealt = members.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "pos", "node", "comp", "sig", "bag", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     return written(dealt.groupBy("band", "pos", "i", "j").applyInArrow(_compared, "a long, b long").distinct(), "links")
@@ -308,6 +327,25 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose class is kept by another document: one document of each class stays."""
-    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return joined_small(docs, gone, "doc_id", "left_anti")
+    """docs with one row of each class: the one with the least doc_id (ids before none), of repeated ones any.
+
+    Defined cases: all rows without words stay; rows of one doc_id with other texts stay if their class has no lower id; null doc_ids and
+    repeated rows are reduced like others; other columns, whatever their names, travel as they are.
+    """
+    rows, of = _classified(docs)
+    met = written(rows.where("key is not null").groupBy("key", "doc_id").agg(F.count("*").alias("n")).join(of, "key").select("key", "doc_id", "n", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("doc"))).alias("kept")), "met")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in chunks(batch):
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(_keys(b.column("text"), Words(b.column("text")).counts), pa.binary())], ["row", "id", "key"])
+
+    # all columns travel in one, so that none of theirs can clash
+    kind = StructType([StructField("row", docs.schema), StructField("id", LongType()), StructField("key", BinaryType())])
+    keyed = mapped(docs.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text"), work, kind)
+    ids = met.select("key", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "n", "kept")
+    out = joined_small(keyed, ids.where("not kept").select("key", "id"), ["key", "id"], "left_anti")
+    again = ids.where("kept and n > 1").select("key", "id")
+    if not again.isEmpty():  # one of each, combined within a task before it is shuffled
+        out = joined_small(out, again, ["key", "id"], "left_anti").unionAll(joined_small(out, again, ["key", "id"], "left_semi").dropDuplicates(["key", "id"]))
+    return out.select(*[F.col("row").getField(n).alias(n) for n in docs.columns])

@@ -154,6 +154,19 @@ def test_op2(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def test_one_of_each(spark):
+    """Repeated rows, null and repeated ids: one row of each class stays, and no text is lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(4, a, "x"), (4, a, "x"), (None, a, "y"), (5, a, "z"), (6, near, "n"), (7, b, "k"), (7, a, "two"), (None, c, "only"), (None, c, "only"), (8, "", "e"), (8, None, "e"), (None, None, "e"), (None, " ", "e")]
+    docs = spark.createDataFrame([(i, t, k, 1, 2) for i, t, k in rows], "doc_id bigint, text string, key string, id int, row int")
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r[0], r[1], r[2]) for r in kept.collect()), key=str) == sorted([(4, a, "x"), (7, b, "k"), (None, c, "only"), (8, "", "e"), (8, None, "e"), (None, None, "e"), (None, " ", "e")], key=str)
+    got = Counter((r["doc_id"], r["class_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == Counter([(4, 4, True), (4, 4, True), (None, 4, False), (5, 4, False), (6, 4, False), (7, 7, True), (7, 4, False), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True), (None, None, True), (None, None, True)])
+
+
 def test_blocks_of_a_mixed_bucket():
     r = random.Random(6)
     base = [f"v{i}" for i in range(100)]
