@@ -320,10 +320,36 @@ def test_op5(spark):
     assert sorted(tuple(r) for r in chat.op5_chat(spark, SF).collect()) == sorted(want)
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "<|im_end|>"), (1, 2, "user", None), (1, 3, "assistant", "b"), (1, 4, None, "t"), (None, 0, "assistant", "n")]
     c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    e = sorted((r for r in chat.written_out(chat.expand(c)).collect() if r["conv_id"] == 1), key=lambda r: r["example"])
+    e = sorted((r for r in chat.examples(c).collect() if r["conv_id"] == 1 and r["example"] >= 0), key=lambda r: r["example"])
     assert [chat.unescape(r["text"][r["loss_begin"] : r["loss_end"]]) for r in e] == ["<|im_end|>", "b"]
     assert [chat.turns_in(r["text"]) for r in e] == [[(a or "", b or "") for _, _, a, b in rows[:n]] for n in (2, 4)]
-    assert chat.read_back(chat.expand(c.limit(0))).count() == 0
+    rest = next(r for r in chat.examples(c).collect() if r["conv_id"] == 1 and r["example"] < 0)
+    assert chat.turns_in(rest["text"])[-1] == ("", "t") and rest["loss_begin"] == rest["loss_end"]
+    assert chat.read_back(chat.examples(c.limit(0))).count() == 0
+
+
+def test_op5_odd_tables(spark):
+    """Ties, repeated and null rows, roles and texts with control strings, and columns with clashing names."""
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, None, "c"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, None, "assistant", None), (None, 1, "assistant", "n"), (None, 0, "<|im_start|>\n", "<\\|"), (3, 0, "user", "only")]
+    c = spark.createDataFrame([(*r, "e", 7) for r in rows], "conv_id bigint, turn bigint, role string, text string, example string, begin int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.examples(c)).collect()}
+    order = {1: [("", "c"), ("user", "a"), ("user", "b"), ("assistant", "x"), ("assistant", "x")], 2: [("assistant", "")], None: [("<|im_start|>\n", "<\\|"), ("assistant", "n")], 3: [("user", "only")]}
+    assert got.keys() == order.keys() and got == {r["conv_id"]: r for r in chat.digests(c).collect()}
+    for i, turns in order.items():
+        replies = [t for role, t in turns if role == "assistant"]
+        assert (got[i]["n_turns"], got[i]["n_examples"], got[i]["loss_chars"]) == (len(turns), len(replies), len("".join(replies)))
+        assert got[i]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert got[i]["loss_sha256"] == hashlib.sha256("".join(replies).encode()).hexdigest()
+
+
+def test_op5_reading_back_checks_contexts(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"conversation {c} turn {t}") for c in range(2) for t in range(8)]
+    e = chat.examples(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).coalesce(1).sortWithinPartitions("conv_id", "example")
+    assert [r["n_examples"] for r in chat.read_back(e).collect()] == [4, 4]
+    with pytest.raises(Exception, match="lacks its context"):
+        chat.read_back(e.withColumn("text", F.expr("if(example = 2, concat('x', text), text)"))).collect()
+    with pytest.raises(Exception, match="end in its reply"):
+        chat.read_back(e.withColumn("loss_end", F.expr("loss_end - if(example = 1, 1, 0)"))).collect()
 
 
 def test_op5_written_out_of_a_stored_table(spark):
