@@ -21,7 +21,8 @@ A text's first token has the start alone as its context.
 Tokens are words with A-Z in lower case, then one end for each text, which also stands for the start of the next context.
 
 Defined cases: a null or empty text is an end alone; a word or pair never met gets the lower orders' share; with
-nothing to learn from, every token has probability 1. A null doc_id counts as an empty string for the fold. Other columns are ignored.
+nothing to learn from, every token has probability 1. A null doc_id counts as an empty string for the fold; repeated rows count as often
+as they come. Other columns are ignored. More than 2**32 different words raise: ids have 32 bits.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ from tarnwell.llm.textkit import U64, Words, chunks, mapped, mix64, new_folder,
 ORDER = 3
 #: Tokens that a task adds up before it hands counts on.
 HELD = 2_000_000
+#: Bytes of text for each range of word hashes, beyond as many ranges as Spark has shuffle partitions; ranges at most.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 20
 BEGIN, END = U64(0x1D8AF8E3B1C7F259), U64(0x8E5C2F1B7A94D603)
 
 
@@ -72,14 +76,19 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Keys by byte planes (equal bytes lie together) and counts in the smallest width."""
     kind = np.min_scalar_type(int(counts.max()) if len(counts) else 0)
-    return bytes([kind.itemsize]) + keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(kind).tobytes()
+    return _squeezed(bytes([kind.itemsize]) + keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(kind).tobytes())
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The inverse of pack."""
+    raw = zstandard.decompress(raw)
     width = raw[0]
     n = (len(raw) - 1) // (8 + width)
     keys = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 1).reshape(8, n).T).reshape(-1).view("<u8")
@@ -145,14 +154,20 @@ def halved(keys: np.ndarray) -> dict[str, np.ndarray]:
 
 def within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of `want` lie in values[lo:hi], each such range sorted, and where."""
-    lo, end, hi = lo.astype(np.int64), hi.astype(np.int64), hi.astype(np.int64)
-    while len(open_ := np.flatnonzero(lo < hi)):
-        mid = (lo[open_] + hi[open_]) // 2
-        less = values[mid] < want[open_]
-        lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
-    inside = np.flatnonzero(lo < end)
-    hit = inside[values[lo[inside]] == want[inside]]
-    return hit, lo[hit]
+    at, end = lo.astype(np.int64), hi.astype(np.int64)
+    open_ = np.flatnonzero(at < end)
+    low, high, own = at[open_], end[open_], want[open_]
+    while len(open_):
+        mid = (low + high) >> 1
+        less = values[mid] < own
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        live = low < high
+        if not live.all():
+            at[open_[~live]] = low[~live]
+            open_, low, high, own = open_[live], low[live], high[live], own[live]
+    inside = np.flatnonzero(at < end)
+    hit = inside[values[at[inside]] == want[inside]]
+    return hit, at[hit]
 
 
 def triples(context: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +188,12 @@ def pack_triples(context: np.ndarray, size: np.ndarray, word: np.ndarray, counts
     for x in (size, counts):
         kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
         parts += [bytes([kind.itemsize]), x.astype(kind).tobytes()]
-    return b"".join(parts)
+    return _squeezed(b"".join(parts))
 
 
 def unpack_triples(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, word and count of each triple of pack_triples()."""
+    raw = zstandard.decompress(raw)
     n, m = np.frombuffer(raw, "<u8", 2).tolist()
     at, halves = 16, []
     for x in (n, n, m):
@@ -331,16 +347,14 @@ class Model:
             times[own[hit]] = wide(arrays, "n", at)
         return times, after
 
-    def score(self, column: pa.Array) -> dict[str, np.ndarray]:
-        """n_tokens, n_known, base_score and score of each text."""
+    def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's probability after those before it, how often it was met in training, and the place of each text's first token."""
         token, before, first = tokens(column)
-        row = np.repeat(np.arange(len(column)), np.diff(first))
         kinds, at = np.unique(np.concatenate([token, before]), return_inverse=True)
         ids, counts = self.ids(kinds)
         now, was = ids[at[: len(token)]], ids[at[len(token) :]]
         c = counts[at[: len(token)]]
         v = self.distinct
-        base = np.log10((c + 0.5) / (self.total + 0.5 * (v + 1)))
         # lower order: how many different words come before the word, over a uniform share for all words and one more
         known = np.flatnonzero(ids >= 0)
         preceded = np.zeros(len(kinds), np.int64)
@@ -379,7 +393,13 @@ class Model:
             n = np.maximum(after[:, 3], 1)
             high = (np.maximum(times - _discount(times, self.triple_discounts), 0) + (after[:, :3] @ np.array(self.triple_discounts)) * p[of]) / n
             p[of] = np.where(after[:, 3] > 0, high, p[of])
-        size = len(column)
+        return p, c, first
+
+    def score(self, column: pa.Array) -> dict[str, np.ndarray]:
+        """n_tokens, n_known, base_score and score of each text."""
+        p, c, first = self.probabilities(column)
+        size, row = len(column), np.repeat(np.arange(len(column)), np.diff(first))
+        base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
         return {"n_tokens": np.diff(first), "n_known": sums_by_row(c > 0, first), "base_score": np.bincount(row, base, size), "score": np.bincount(row, np.log10(p), size)}
 
 
@@ -429,7 +449,9 @@ def learned(docs: DataFrame, order: int = 2) -> Model:
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     rows = docs.where(~held_out()).select("text")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges follow the input's size, so that what one task merges doesn't grow with the corpus
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // RANGE_BYTES), MOST_RANGES))
     model = Model(new_folder(spark, "ngrams"), shards, [0] * (shards + 1), order=order)
 
     def words_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

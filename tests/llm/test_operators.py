@@ -622,13 +622,15 @@ def test_triples_are_packed_exactly():
     assert dict(zip(zip(c.tolist(), w.tolist(), strict=True), n.tolist(), strict=True)) == want
 
 
-def test_probabilities_sum_to_one(spark):
-    model = ngrams.learned(table(spark, ["a b a b c", "b a", "c c a d", "a a b"]))
-    for u in ("a", "b", "zz"):
-        ends = [model.score(pa.array([f"{u} {w}" if w else u]))["score"][0] for w in ("a", "b", "c", "d", "new")]
-        alone = model.score(pa.array([u]))["score"][0]
-        first = [e - model.score(pa.array([w]))["score"][0] for e, w in zip(ends, ("a", "b", "c", "d", "new"), strict=True)]
-        assert all(x < 0 for x in [*ends, alone]) and len(first) == 5
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    """After any context, the words met, the end and one word never met have all of the probability."""
+    model = ngrams.learned(table(spark, ["a b a b c", "b a", "c c a d", "a a b", "a b c d"] * 3), order)
+    for context in ("", "a", "a b", "b zz", "zz", "zz a", "d d"):
+        ends = model.probabilities(pa.array([context]))[0][-1]
+        n = len(context.split())
+        rest = [model.probabilities(pa.array([f"{context} {w}"]))[0][n] for w in ("a", "b", "c", "d", "never-met")]
+        assert math.isclose(ends + sum(rest), 1, rel_tol=1e-9), context
 
 
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10"])
