@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions.mutations import DELETE, INC, PUT
@@ -24,12 +24,26 @@ def read(buffer: DataFrame, segment: DataFrame, keys: DataFrame) -> DataFrame:
     return resolved(buffer.join(keys, "key", "left_semi"), segment.join(keys, "key", "left_semi"))
 
 
-def route(rows: DataFrame, key: str, leaves: list[tuple[int, int]]) -> DataFrame:
-    """rows with leaf_id, from (leaf_id, low) with ascending lows; a key belongs to the last leaf whose low isn't after it."""
-    leaf = F.lit(None).cast("int")
-    for leaf_id, low in leaves:
-        leaf = F.when(F.col(key) >= low, F.lit(leaf_id)).otherwise(leaf)
-    return rows.withColumn("leaf_id", leaf)
+def route(rows: DataFrame, key: str, leaves: list[tuple]) -> DataFrame:
+    """rows with leaf_id, from (leaf_id, low) with ascending lows; a key belongs to the last leaf whose low isn't after it (before all, or null: null).
+
+    The lows are one sorted array, halved as often as it takes: thousands of leaves cost a dozen comparisons a row, for keys of any type.
+    """
+    if not leaves:
+        return rows.withColumn("leaf_id", F.lit(None).cast("int"))
+    kind = rows.schema[key].dataType.simpleString()
+    lows, ids = F.lit([low for _, low in leaves]).cast(f"array<{kind}>"), F.lit([i for i, _ in leaves]).cast("array<int>")
+    begin = F.struct(F.lit(0).alias("lo"), F.lit(len(leaves)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        after = F.get(lows, mid) > F.col(key)
+        lo, hi = F.when(after, acc["lo"]).otherwise(mid + 1), F.when(after, mid).otherwise(acc["hi"])
+        return F.when(acc["lo"] < acc["hi"], F.struct(lo.alias("lo"), hi.alias("hi"))).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.lit(len(leaves).bit_length() + 1))
+    place = F.aggregate(steps, begin, halve, lambda acc: acc["lo"])
+    return rows.withColumn("leaf_id", F.when(F.col(key).isNotNull(), F.get(ids, place - 1)))
 
 
 def sizes(rows: DataFrame, nbytes: str) -> DataFrame:

@@ -316,6 +316,18 @@ class Registry:
             raise DamagedFile(f"the file of dictionary {dict_id} holds {d.id}")
         return self._hold(d)
 
+    def compress(self, dict_id: int, data: bytes) -> bytes:
+        """A frame by the dictionary with an id; KeyError if there is none."""
+        return self.get(dict_id).compress(data)
+
+    def decompress(self, dict_id: int, data: bytes) -> bytes:
+        """The bytes of such a frame."""
+        return self.get(dict_id).decompress(data)
+
+    def close(self) -> None:
+        """Hold nothing more; files stay."""
+        self.held.clear()
+
     def remove(self, dict_id: int) -> None:
         """Hold a dictionary no more; its file stays."""
         self.held.pop(dict_id, None)

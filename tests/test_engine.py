@@ -49,6 +49,31 @@ def test_fold(spark):
     assert rows(m.coalesced(log(spark, ops))) == want == rows(m.coalesced_by_window(log(spark, ops)))
 
 
+def test_hot_key(spark):
+    """One key holds 90 % of the log: it is folded in as many places as there are ranges, and the result is that of one place."""
+    n = 20_000
+    kind = F.when(F.col("id") % 997 == 5, m.PUT).when(F.col("id") % 4001 == 7, m.DELETE).otherwise(m.INC)
+    rows_ = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 50)).otherwise(F.lit("hot")).alias("key"), F.col("id").alias("seq"), kind.alias("kind"))
+    ops = rows_.select("key", "seq", "kind", F.when(F.col("kind") == m.PUT, F.col("seq").cast("string")).alias("payload"), F.when(F.col("kind") == m.INC, F.col("seq")).alias("delta"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = m.coalesced(ops, ranges=16)
+        assert rows(got) == rows(m.coalesced_by_window(ops)) == rows(m.coalesced(ops, ranges=1))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # raw rows are dealt by key and range; by key alone only what the ranges gave
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert len(dealt) == 2 and "range" not in dealt[0] and "range" in dealt[1] and "Join" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_constructors(spark):
+    one = spark.range(1).select(F.lit("a").alias("k"), F.lit(3).alias("s"), F.lit(7).alias("v"))
+    k, q, v = F.col("k"), F.col("s"), F.col("v")
+    got = [tuple(one.select(*cols).first()) for cols in (m.put(k, q, v), m.delete(k, q), m.inc(k, q, v))]
+    assert got == [("a", 3, 0, "7", None), ("a", 3, 1, None, None), ("a", 3, 2, None, 7)]
+
+
 def test_bad_mutations_raise(spark):
     for op in (("", 0, "x", None), ("k", 7, "x", None), ("k", None, "x", None)):
         with pytest.raises(Exception, match="known kind"):
@@ -62,8 +87,8 @@ def test_sequential_needs_numbers(spark):
 
 def test_varint():
     for n in (0, 1, -1, 63, 64, -65, 2**63 - 1, -(2**63)):
-        assert m.unvarint(m.varint(n)) == n
-    for bad in (b"", b"\x80", b"\x01\x01"):
+        assert m.unvarint(m.varint(n)) == n and m.varint_len(n) == len(m.varint(n))
+    for bad in (b"", b"\x80", b"\x01\x01", b"\xff" * 9 + b"\x02", b"\xff" * 9 + b"\x7f", b"\x80" * 10 + b"\x01"):
         with pytest.raises(ValueError):
             m.unvarint(bad)
 
@@ -136,6 +161,32 @@ def test_dictionaries(spark):
     uses = spark.createDataFrame([(21, 1), (22, 2), (21, 3), (23, 4)], "dict_id int, at int")
     assert [r["dict_id"] for r in dictionary.survivors(uses, "dict_id", "at", 2).collect()] == [23, 21]
     s = spark.createDataFrame([(2, "cd"), (1, "ab"), (3, ""), (4, "ef")], "o int, s string")
-    assert dictionary.history(s, "o", "s", 5).first()[0] == "abcde"
-    e = spark.createDataFrame([(1, "tenant=a|count=1"), (2, None)], "id bigint, s string")
-    assert [r["same"] for r in dictionary.round_trip(e, "s", b"tenant=a|count=").collect()] == [True, True]
+    assert bytes(dictionary.history(s, "o", "s", 5).first()[0]) == b"abcde"
+    wide = spark.createDataFrame([(1, "日本"), (2, "語é")], "o int, s string")
+    assert bytes(dictionary.history(wide, "o", "s", 8).first()[0]) == "日本語".encode()[:8]
+
+
+def test_trained_dictionaries(spark):
+    said = [(i, f'{{"tenant": "t{i % 7}", "region": "eu-{i % 3}", "state": "active", "count": {i * 37}}}') for i in range(3000)]
+    e = spark.createDataFrame(said, "id bigint, s string")
+    d = dictionary.trained(e, "id", "s", 3, 2048)
+    assert d.raw[:4] == (0xEC30A437).to_bytes(4, "little") and len(d.raw) <= 2048  # a trained dictionary, not raw history
+    few = dictionary.trained(e.limit(2), "id", "s", 4, 64)
+    assert few.raw == "".join(x for _, x in said[:2]).encode()[:64]
+    rows_ = e.select("id", F.when(F.col("id") % 2 == 0, 3).otherwise(4).alias("d"), F.when(F.col("id") != 5, F.col("s")).alias("s"))
+    packed = dictionary.compressed(rows_, "d", "s", [d, few])
+    back = {r["id"]: r["s"] for r in dictionary.decompressed(packed, "d", "s", [d, few]).collect()}
+    assert back == {i: None if i == 5 else bytearray(x.encode()) for i, x in said}
+    size = {r["d"]: r["n"] for r in packed.groupBy("d").agg(F.sum(F.octet_length("s")).alias("n")).collect()}
+    assert size[3] < 0.6 * sum(len(x) for i, x in said if i % 2 == 0)
+    with pytest.raises(Exception, match="KeyError"):
+        dictionary.compressed(rows_, "d", "s", [d]).collect()
+
+
+def test_route(spark):
+    leaves = [(i * 3, f"k{i:05d}") for i in range(4000)]
+    keys = ["a", "k00000", "k00000x", "k02999", "k03999", "z", None]
+    got = [r["leaf_id"] for r in leaf.route(spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1), "key", leaves).collect()]
+    assert got == [None, 0, 0, 2999 * 3, 3999 * 3, 3999 * 3, None]
+    numbers = leaf.route(spark.range(-2, 30), "id", [(7, 0), (8, 10), (9, 20)]).collect()
+    assert {r["id"]: r["leaf_id"] for r in numbers} == {i: None if i < 0 else 7 + i // 10 if i < 30 else 9 for i in range(-2, 30)}
