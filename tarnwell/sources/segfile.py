@@ -14,7 +14,6 @@ import io
 import os
 import re
 import struct
-import tempfile
 import uuid
 import zlib
 from bisect import bisect_left
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators.blocks import ENTRY, HEAD, TARGET, bloom_size
+from tarnwell.sources.shared import create_once, names, shared_folder  # noqa: F401
 
 # Fixed values of the formats: magic and version of each part, sizes, kinds of compression, constants of the filter's hashes.
 HEADER, BLOCK, BLOOM, FOOTER, DICTIONARY = b"FHDR", b"FBLK", b"FBLM", b"FFTR", b"FDDC"
@@ -384,7 +384,8 @@ class SegmentWriter:
 class SegmentReader:
     """Reads one segment from a file that can seek; holds its index and filter, and one block at a time."""
 
-    def __init__(self, file: BinaryIO, registry: Registry | None = None):
+    def __init__(self, file: BinaryIO, registry: Registry | None = None, blocks: bool = True):
+        """blocks: whether blocks will be read, which in a compressed segment takes a registry."""
         self.file = file
         size = file.seek(0, io.SEEK_END)
         if size < HEADER_BYTES + FOOTER_BYTES:
@@ -397,9 +398,9 @@ class SegmentReader:
         self.bloom, self.index = Bloom.decode(self._bytes(*f.bloom)), decode_index(self._bytes(*f.index))
         if len(self.index) != f.blocks or (self.index and self.index[-1].offset + self.index[-1].length > f.data[1]):
             raise DamagedFile("index and footer disagree")
-        if self.dict_id and registry is None:
+        if self.dict_id and registry is None and blocks:
             raise ValueError("a compressed segment needs a registry")
-        self.dictionary = registry.get(self.dict_id) if self.dict_id else None
+        self.dictionary = registry.get(self.dict_id) if self.dict_id and blocks else None
 
     def _bytes(self, offset: int, length: int) -> bytes:
         self.file.seek(offset)
@@ -434,12 +435,6 @@ def file_name(segment: int, version: int) -> str:
     return f"segment-{segment:020d}-v{version:020d}.seg"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/tarnwell-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="tarnwell-")
-
-
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"file:/+", uri):
         uri = "file:///" + uri[5:].lstrip("/")
@@ -449,8 +444,8 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 def write_segments(entries: DataFrame, root: str, version: int, target: int = TARGET, rate: float = 0.01, dictionary: Dictionary | None = None) -> DataFrame:
     """One file below root for each segment of (segment, key, value); a row for each: segment, file, n_blocks, n_entries, bytes.
 
-    Tasks write under names of their own, so repeated attempts don't meet; files get their final names once all are whole,
-    and one that is there already is refused.
+    Tasks write under names of their own, so repeated attempts don't meet; files get their final names once all are whole, side by side, and
+    a commit file that one writer alone can create makes the version visible. A version that is there already is refused.
     """
     spark, raw = entries.sparkSession, (dictionary.id, dictionary.raw, dictionary.level) if dictionary else None
     job = uuid.uuid4().hex
@@ -480,41 +475,135 @@ def write_segments(entries: DataFrame, root: str, version: int, target: int = TA
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["segment", "file", "n_blocks", "n_entries", "bytes"])
 
     rows = entries.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"))
+    if commit_name(version) in names(spark, root):
+        raise FileExistsError(f"{root}/{commit_name(version)}")
     dealt = rows.repartition("segment").sortWithinPartitions("segment", "key")
     manifest = f"{root}/_manifest-{version:020d}-{job}"
     dealt.mapInArrow(work, "segment bigint, file string, n_blocks int, n_entries bigint, bytes bigint").write.parquet(manifest)
-    store, folder = _store(root)
     whole = spark.read.parquet(manifest)
-    for check in (True, False):
-        for row in whole.select("segment", "file").toLocalIterator():
-            final = f"{folder}/{file_name(row['segment'], version)}"
-            if not check:
-                store.move(f"{folder}/{row['file']}", final)
-            elif store.get_file_info(final).type != fs.FileType.NotFound:
-                raise FileExistsError(final)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(root)
+        for b in batches:
+            for segment, file in zip(b.column("segment").to_pylist(), b.column("file").to_pylist(), strict=True):
+                final = f"{folder}/{file_name(segment, version)}"
+                # a task that runs again finds its own file renamed
+                if store.get_file_info(f"{folder}/{file}").type != fs.FileType.NotFound:
+                    store.move(f"{folder}/{file}", final)
+                elif store.get_file_info(final).type == fs.FileType.NotFound:
+                    raise FileNotFoundError(final)
+            yield pa.RecordBatch.from_arrays([b.column("segment")], ["segment"])
+
+    whole.select("segment", "file").mapInArrow(named, "segment bigint").count()
+    create_once(spark, f"{root}/{commit_name(version)}", job)
+    store, folder = _store(root)
     if store.get_file_info(f"{folder}/.{job}").type == fs.FileType.Directory:
         store.delete_dir(f"{folder}/.{job}")
-    names = F.format_string(f"segment-%020d-v{version:020d}.seg", "segment")
-    return whole.withColumn("file", names)
+    return whole.withColumn("file", F.format_string(f"segment-%020d-v{version:020d}.seg", "segment"))
+
+
+def commit_name(version: int) -> str:
+    """The name of the file that makes a version visible."""
+    return f"_commit-{version:020d}"
+
+
+def segment_files(spark: SparkSession, root: str, latest: bool = False) -> DataFrame:
+    """segment, version and path of the files of committed versions; of each segment's latest only, if asked for."""
+    versions = [int(x[8:]) for x in names(spark, root) if re.fullmatch(r"_commit-\d+", x)]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "segment-*.seg").load(root).select("path")
+    number = lambda i: F.regexp_extract("path", r"segment-(\d+)-v(\d+)\.seg$", i).cast("bigint")
+    files = files.select(number(1).alias("segment"), number(2).alias("version"), "path").where(F.col("version").isin(versions))
+    if latest:
+        files = files.groupBy("segment").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path"))
+    return files
+
+
+def _known(raws: list[tuple]) -> Registry:
+    known = Registry()
+    for x in raws:
+        known.add(Dictionary(*x))
+    return known
+
+
+_ENTRIES = "segment bigint, version bigint, key binary, value binary"
 
 
-def read_segments(spark: SparkSession, root: str, registry: list[Dictionary] | None = None) -> DataFrame:
-    """segment, version, key, value of all segment files below root; files are read beside each other, block by block."""
+def _rows(segment: int, version: int, entries: list[Entry]) -> pa.RecordBatch:
+    keys, values = zip(*entries, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([segment] * len(keys), pa.int64()), pa.array([version] * len(keys), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["segment", "version", "key", "value"])
+
+
+def read_segments(spark: SparkSession, root: str, registry: list[Dictionary] | None = None, low: bytes = b"", high: bytes | None = None, latest: bool = False) -> DataFrame:
+    """segment, version, key, value of the committed segment files below root, keys from low up to, without, high.
+
+    Files are read beside each other, block by block; only blocks that the index says may hold keys of the range are read.
+    """
     raws = [(d.id, d.raw, d.level) for d in registry or []]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Registry()
-        for x in raws:
-            known.add(Dictionary(*x))
+        known = _known(raws)
         for b in batches:
-            for uri in b.column("path").to_pylist():
-                segment = int(re.search(r"segment-(\d+)-v\d+\.seg$", uri)[1])
+            for segment, uri in zip(b.column("segment").to_pylist(), b.column("path").to_pylist(), strict=True):
                 store, path = _store(uri)
                 with store.open_input_file(path) as file:
                     reader = SegmentReader(file, known)
-                    for i in range(len(reader.index)):
-                        keys, values = zip(*reader.block(i), strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([segment] * len(keys), pa.int64()), pa.array([reader.version] * len(keys), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["segment", "version", "key", "value"])
+                    for i in range(bisect_left(reader.index, low, key=lambda p: p.separator), len(reader.index)):
+                        entries = [e for e in reader.block(i) if e[0] >= low and (high is None or e[0] < high)]
+                        if entries:
+                            yield _rows(segment, reader.version, entries)
+                        if high is not None and reader.index[i].separator >= high:
+                            break
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "segment-*.seg").load(root).select("path", "length")
-    return files.select("path").mapInArrow(work, "segment bigint, version bigint, key binary, value binary")
+    return segment_files(spark, root, latest).select("segment", "path").mapInArrow(work, _ENTRIES)
+
+
+def lookup(spark: SparkSession, root: str, keys: DataFrame, registry: list[Dictionary] | None = None) -> DataFrame:
+    """segment, version, key, value of the wanted (segment, key) rows that are there, in each segment's latest version.
+
+    Wanted keys go to the task that opens their segment's file: its filter says which can't be there, its index which block to read.
+    """
+    raws = [(d.id, d.raw, d.level) for d in registry or []]
+    wanted = keys.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, reader, held, block = _known(raws), None, None, [], -1
+        for b in batches:
+            out = []
+            for segment, uri, key in zip(b.column("segment").to_pylist(), b.column("path").to_pylist(), b.column("key").to_pylist(), strict=True):
+                if uri != now:
+                    store, path = _store(uri)
+                    now, reader, block = uri, SegmentReader(store.open_input_file(path), known), -1
+                i = bisect_left(reader.index, key, key=lambda p: p.separator) if reader.bloom.may_contain(key) else len(reader.index)
+                if i == len(reader.index):
+                    continue
+                if i != block:  # keys come in order, so a block is read once
+                    held, block = reader.block(i), i
+                at = bisect_left(held, key, key=lambda e: e[0])
+                if at < len(held) and held[at][0] == key:
+                    out.append((segment, reader.version, held[at]))
+            for segment, version in dict.fromkeys(x[:2] for x in out):
+                yield _rows(segment, version, [e for s, v, e in out if (s, v) == (segment, version)])
+
+    files = segment_files(spark, root, latest=True).select("segment", "path")
+    dealt = wanted.join(files, "segment").repartition("segment").sortWithinPartitions("segment", "key")
+    return dealt.select("segment", "path", "key").mapInArrow(work, _ENTRIES)
+
+
+def may_contain(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """segment, key, maybe: what each segment's latest filter says of the wanted (segment, key) rows; never false for a key that is there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bloom = None, None
+        for b in batches:
+            said = []
+            for uri, key in zip(b.column("path").to_pylist(), b.column("key").to_pylist(), strict=True):
+                if uri != now:
+                    store, path = _store(uri)
+                    with store.open_input_file(path) as file:
+                        now, bloom = uri, SegmentReader(file, None, False).bloom
+                said.append(bloom.may_contain(key))
+            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("key"), pa.array(said, pa.bool_())], ["segment", "key", "maybe"])
+
+    wanted = keys.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key"))
+    dealt = wanted.join(segment_files(spark, root, latest=True).select("segment", "path"), "segment").repartition("segment").sortWithinPartitions("segment", "key")
+    return dealt.select("segment", "path", "key").mapInArrow(work, "segment bigint, key binary, maybe boolean")
