@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tarnwell.functions import mutations as m
 from tarnwell.operators import blocks, buffer, dictionary, leaf, segment
 from tarnwell.sources import segfile
+from tarnwell.sources.store import SegmentStore
+from tarnwell.streaming.ingest import ingest, replayed
+from tarnwell.streaming.tree import Tree, row_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,10 +368,10 @@ def dict_training_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.octet_length("props") > 0).select("event_id", "props")
 
 
-@query("SELECT substr(string_agg(props, '' ORDER BY event_id), 1, 4096) AS history FROM (SELECT event_id, props FROM events WHERE strlen(props) > 0 ORDER BY event_id LIMIT 4096)")
+@query("SELECT substr(string_agg(props, '' ORDER BY event_id), 1, 65536) AS history FROM (SELECT event_id, props FROM events WHERE strlen(props) > 0 ORDER BY event_id LIMIT 65536)")
 def dict_history_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a dictionary is trained on."""
-    return dictionary.history(table(spark, sf_dir, "events"), "event_id", "props", 4096)
+    """What a dictionary is trained on where samples are few; props have one byte a character."""
+    return dictionary.history(table(spark, sf_dir, "events"), "event_id", "props").select(F.col("history").cast("string").alias("history"))
 
 
 @query("SELECT user_id AS dict_id, max(event_id) AS last_use FROM events GROUP BY user_id ORDER BY last_use DESC, dict_id LIMIT 16")
@@ -384,9 +387,139 @@ def dict_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.unused(ids, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("dict_id")))
 
 
-@query(None)
+@query("SELECT event_id, coalesce(strlen(props), 0)::BIGINT AS raw_len, true AS same FROM events")
 def dict_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compression with a dictionary and back."""
-    e = table(spark, sf_dir, "events")
-    raw = dictionary.history(e, "event_id", "props", 4096).first()[0]
-    return dictionary.round_trip(e.select("event_id", "props"), "props", (raw or "").encode())
+    """Compression with trained dictionaries, one for each of three groups of users, and back."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3 + 1).cast("int").alias("dict_id"), F.coalesce("props", F.lit("")).cast("binary").alias("said"))
+    dictionaries = [dictionary.trained(e.where(F.col("dict_id") == i), "event_id", "said", i, 4096) for i in (1, 2, 3)]
+    packed = dictionary.compressed(e.withColumn("raw", F.col("said")), "dict_id", "said", dictionaries)
+    back = dictionary.decompressed(packed, "dict_id", "said", dictionaries)
+    return back.select("event_id", F.octet_length("raw").cast("bigint").alias("raw_len"), (F.col("raw") == F.col("said")).alias("same"))
+
+
+@query("SELECT DISTINCT o_orderkey // 100 AS leaf_id, (o_orderkey // 100 // 16 + 1)::INT AS dict_id FROM orders")
+def dict_leaf_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary of each leaf: one for sixteen leaves beside each other."""
+    leaves = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("leaf_id")).distinct()
+    return leaves.select("leaf_id", dictionary.group_of(F.col("leaf_id")).alias("dict_id"))
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> segfile.Dictionary:
+    return dictionary.trained(_entries(spark, sf_dir), "key", "value", 7, 1024)
+
+
+_WANTED = "w AS (SELECT o_orderkey // 500 AS segment, printf('order:%012d', o_orderkey) AS key FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT o_orderkey // 500, printf('other:%012d', o_orderkey) FROM orders WHERE o_orderkey % 7 = 1)"
+_SEGMENT = "segment_files AS (SELECT o_orderkey // 500 AS segment, printf('order:%012d', o_orderkey) AS key, concat_ws('|', o_orderstatus, o_orderpriority) AS value FROM orders)"
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders(spark, sf_dir).select(F.floor(F.col("o_orderkey") / 500).alias("segment"), "o_orderkey")
+    there = o.where("o_orderkey % 7 = 0").select("segment", F.format_string("order:%012d", "o_orderkey").alias("key"))
+    return there.unionAll(o.where("o_orderkey % 7 = 1").select("segment", F.format_string("other:%012d", "o_orderkey").alias("key")))
+
+
+def _strings(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("key", "value")})
+
+
+@query(f"WITH {_WANTED}, {_SEGMENT} SELECT s.segment, 1::BIGINT AS version, s.key, s.value FROM w JOIN segment_files s ON s.segment = w.segment AND s.key = w.key")
+def seg_file_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of compressed segment files, through filter, index and one block each; those that aren't there are left out."""
+    root, d = segfile.shared_folder(spark), _trained(spark, sf_dir)
+    segfile.write_segments(_entries(spark, sf_dir), root, 1, dictionary=d)
+    return _strings(segfile.lookup(spark, root, _wanted(spark, sf_dir), [d]))
+
+
+@query(f"WITH {_SEGMENT} SELECT segment, CASE WHEN segment % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS version, key, CASE WHEN segment % 2 = 0 THEN value || '+' ELSE value END AS value FROM segment_files WHERE key >= 'order:000000000450' AND key < 'order:000000001100'")
+def seg_file_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of keys in the latest versions of compressed segment files; every second segment has two."""
+    root, e, d = segfile.shared_folder(spark), _entries(spark, sf_dir), _trained(spark, sf_dir)
+    segfile.write_segments(e, root, 1, dictionary=d)
+    segfile.write_segments(e.where("segment % 2 = 0").withColumn("value", F.concat("value", F.lit("+"))), root, 2, dictionary=d)
+    return _strings(segfile.read_segments(spark, root, [d], b"order:000000000450", b"order:000000001100", latest=True))
+
+
+@query(f"WITH {_WANTED}, {_SEGMENT} SELECT w.segment, w.key, s.key IS NOT NULL AS present FROM w LEFT JOIN segment_files s ON s.segment = w.segment AND s.key = w.key")
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership by segment files' filters; what they let through is checked in the files."""
+    root, wanted = segfile.shared_folder(spark), _wanted(spark, sf_dir)
+    segfile.write_segments(_entries(spark, sf_dir), root, 1)
+    maybe = segfile.may_contain(spark, root, wanted)
+    there = segfile.lookup(spark, root, maybe.where("maybe")).select("segment", "key", F.lit(True).alias("there"))
+    return maybe.join(there, ["segment", "key"], "left").select("segment", F.col("key").cast("string").alias("key"), (F.col("maybe") & F.coalesce("there", F.lit(False))).alias("present"))
+
+
+@query("SELECT printf('user:%08d', c_custkey) AS key, c_name || '!' AS value, 2::BIGINT AS versions FROM customer WHERE c_custkey % 3 > 0")
+def seg_store_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest of a segment's versions in a store, and how many there are."""
+    store, c = SegmentStore(spark, segfile.shared_folder(spark)), table(spark, sf_dir, "customer")
+    rows = c.select(F.format_string("user:%08d", "c_custkey").alias("key"), F.col("c_name").alias("value"), "c_custkey")
+    n = rows.count()
+    store.write(rows.select("key", "value"), 1, 1, n)
+    store.write(rows.where("c_custkey % 3 > 0").select("key", F.concat("value", F.lit("!")).alias("value")), 1, 2, n)
+    return store.read(1).select("key", "value", F.lit(store.manifest().where("segment_id = 1").count()).cast("bigint").alias("versions"))
+
+
+@query(_ALL)
+def stream_ingest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of mutations, logged batch by batch and replayed to a buffer; a second run adds nothing."""
+    root = segfile.shared_folder(spark)
+    log_of(spark, sf_dir).write.parquet(f"{root}/in")
+    for _ in range(2):
+        ingest(spark.readStream.schema(m.LOG).option("maxFilesPerTrigger", 8).parquet(f"{root}/in"), f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return replayed(spark, f"{root}/log")
+
+
+_HALF = 500
+_FIRST = _RESOLVED.replace("FROM events)", f"FROM events WHERE event_id <= {_HALF})")
+_SECOND = _RESOLVED.replace("FROM events)", f"FROM events WHERE event_id > {_HALF})").replace("base AS (SELECT printf('user:%08d', c_custkey) AS key, NULL::VARCHAR AS value, round(c_acctbal * 100)::BIGINT AS counter FROM customer)", f"base AS ({_FIRST})")
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> Tree:
+    """customers as the first segment, the first events merged into it and the leaf split, the others in the log."""
+    tree, log = Tree(spark, segfile.shared_folder(spark)), log_of(spark, sf_dir)
+    tree.load(_base(spark, sf_dir))
+    tree.append(log.where(F.col("seq") <= _HALF))
+    tree.merge(split_bytes=1000)
+    tree.truncate()
+    tree.append(log.where(F.col("seq") > _HALF))
+    return tree
+
+
+@query(_SECOND)
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys after a merge that committed and split, through what is in the log since; read by one that opens the root anew."""
+    return Tree(spark, _tree(spark, sf_dir).root).scan()
+
+
+@query(f"SELECT * FROM ({_SECOND}) WHERE key IN ('user:00000000', 'user:00000001', 'user:00000700', 'none')")
+def tree_point_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some keys of that tree."""
+    keys = spark.createDataFrame([(k,) for k in ("user:00000000", "user:00000001", "user:00000700", "none")], "key string")
+    return _tree(spark, sf_dir).read(keys)
+
+
+@query(
+    f"""WITH l AS ({_FIRST}), r AS (SELECT key, (strlen(key) + coalesce(strlen(value), 0) + 8)::BIGINT AS nbytes FROM l),
+a AS (SELECT key, nbytes, sum(nbytes) OVER (ORDER BY key) AS upto, sum(nbytes) OVER () AS whole FROM r), c AS (SELECT min(key) AS cut FROM a WHERE upto * 2 >= whole)
+SELECT CASE WHEN key < cut THEN 1 ELSE 2 END::INT AS leaf_id, count(*) AS n_rows, sum(nbytes)::BIGINT AS bytes, min(key) AS least FROM r, c GROUP BY ALL"""
+)
+def tree_split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves that a split merge makes: their rows, bytes and least keys."""
+    tree = _tree(spark, sf_dir)
+    leaves = [(x["leaf_id"], x["low"]) for x in tree.state()["leaves"]]
+    rows = leaf.route(tree.segment(), "key", leaves).withColumn("nbytes", row_bytes())
+    return rows.groupBy("leaf_id").agg(F.count("*").alias("n_rows"), F.sum("nbytes").alias("bytes"), F.min("key").alias("least"))
+
+
+@query("WITH t AS (SELECT DISTINCT printf('user:%08d', user_id * 11 + 3) AS target FROM events), k AS (SELECT printf('user:%08d', c_custkey * 5) AS key FROM customer) SELECT target, (SELECT min(key) FROM k WHERE key >= target) AS found FROM t")
+def seg_seek_many_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first text key at or after each of many targets."""
+    keys = table(spark, sf_dir, "customer").select(F.format_string("user:%08d", F.col("c_custkey") * 5).alias("key"))
+    return segment.seek_many(keys, "key", table(spark, sf_dir, "events").select(F.format_string("user:%08d", F.col("user_id") * 11 + 3).alias("target")))
+
+
+@query("SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM (SELECT printf('user:%08d', c_custkey) AS key FROM customer)")
+def seg_next_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text key and the next."""
+    return segment.following(table(spark, sf_dir, "customer").select(F.format_string("user:%08d", "c_custkey").alias("key")), "key")
