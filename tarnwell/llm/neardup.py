@@ -326,6 +326,20 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: All pairs of texts that share a run, by their exact weighted Jaccard similarity; classes by reach.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS run FROM w),
+bag AS (SELECT doc_id, run, count(*) AS n FROM s GROUP BY doc_id, run),
+size AS (SELECT doc_id, sum(n) AS n FROM bag GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM bag a JOIN bag b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT c.a, c.b FROM common c JOIN size x ON x.doc_id = c.a JOIN size y ON y.doc_id = c.b WHERE c.n::DOUBLE / (x.n + y.n - c.n)::DOUBLE >= 0.8),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+SELECT d.doc_id, coalesce(min(r.other), d.doc_id) AS class_id, coalesce(min(r.other), d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one with the least doc_id (ids before none), of repeated ones any.
 
