@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.textkit import LOWER, U64, chunks, flat, mapped, sums_by_row, written
 
 ORDER = 4
-SAMPLE_ROWS = 300
+SAMPLE_ROWS, PARTS = 300, 16
 #: Costs (of a byte with its context, in a language) that a worker keeps at most.
 KEPT = 8_000_000
 FOREIGN, FOREIGN_BITS = 1.2, 400.0
@@ -207,9 +207,10 @@ def learned(docs: DataFrame) -> LanguageModel:
     """A model of a bounded sample of the rows with a language outside the held-out fold."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
     rows = rows.select("lang", "text", F.xxhash64(F.lit("ppm"), "doc_id", "text").alias("h"))
-    # the hashes alone are ranked; Spark keeps the least of each language within a task before it shuffles them
-    least = Window.partitionBy("lang").orderBy("h")
-    ranked = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= SAMPLE_ROWS)
+    # the hashes alone are ranked, in parts of a language first, so that a frequent language is no task of its own
+    ranked = rows.select("lang", "h").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    for by in (("lang", "part"), ("lang",)):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= SAMPLE_ROWS)
     bounds = ranked.groupBy("lang").agg(F.min("h").alias("first"), F.max("h").alias("last"))
     # a row for each language is broadcast; a language's first text is always learned from
     near = rows.join(F.broadcast(bounds), "lang").where("h <= last").dropDuplicates(["lang", "h"])
