@@ -36,7 +36,7 @@ ORDER = 4
 SAMPLE_ROWS, PARTS = 300, 16
 #: Costs (of a byte with its context, in a language) that a worker keeps at most.
 KEPT = 8_000_000
-FOREIGN, FOREIGN_BITS = 1.2, 400.0
+FOREIGN, FOREIGN_BITS = 1.4, 400.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 

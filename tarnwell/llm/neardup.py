@@ -39,8 +39,8 @@ M, ROWS = 128, 4
 LIKELY = 76
 #: Members of a block where a bucket is compared in full.
 BLOCK = 512
-#: Rows of ids (16 bytes each) up to which a join on them is a broadcast; beyond, it is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids and keys (about 60 bytes each) up to which a join on them is a broadcast; beyond, it is a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def shingles(words: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
