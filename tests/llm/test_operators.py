@@ -652,3 +652,73 @@ def test_odd_tables(spark, name):
     assert run(docs.limit(0)).count() == 0
     one = docs.where("doc_id = 2")
     assert run(one).count() == 1
+
+
+def test_odd_values(spark):
+    """Whatever ids rows have, or have in common, their values are those of their texts; null texts have those of empty ones."""
+    docs, _ = odd(spark)
+    texts = [r["text"] for r in docs.collect()]
+    alone = table(spark, texts)
+    values = {
+        "op1": (fingerprint.edited_likeness, ("n_chars", "fingerprint")),
+        "op3": (lambda d: pieces.digests(pieces.tokenised(d, MODEL)), ("n_tokens", "ids_sha256", "decoded_sha256")),
+        "op6": (lambda d: quality.judged(d, quality.Rules(np.zeros((0, 1)), np.zeros(0, bool))), (*quality.BASE, "base_failed", "kept")),
+        "op8": (secrets.secrets, ("n_assign", "n_access", "n_hex", "base_sha256", "spans")),
+        "op9": (lambda d: packing.packed(d, packing.vocabulary()), ("part", "n_tokens", "bound", "ids")),
+    }
+    for name, (run, columns) in values.items():
+        own, other = (Counter(tuple(bytes(r[c]) if isinstance(r[c], bytearray) else r[c] for c in columns) for r in run(d).collect()) for d in (docs, alone))
+        assert own == other, name
+    model, near = langid.train([("en", "the same words"), ("fr", "les mots")]), quality.statistics(pa.array(texts))
+    assert model.predict(pa.array(texts))[0] == ["und" if not any(c.isalpha() for c in t or "") else model.predict(pa.array([t]))[0][0] for t in texts]
+    assert near["n_words"].tolist() == [len(WORD.findall(t or "")) for t in texts]
+
+
+def test_op10_odd_values(spark):
+    """Null, empty, repeated and long texts score as the definition says, null ids are a fold of their own."""
+    docs, _ = odd(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    train = [t for i, t in rows if not fold(i)]
+    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], round(r["score"], 4)) for r in ngrams.scored(docs, ngrams.learned(docs, 3)).collect())
+    short = [(i, t) for i, t in rows if len(t or "") < 1000]
+    want = Counter((i, fold(i), len(WORD.findall(t or "")) + 1, round(x, 4)) for (i, t), x in zip(short, kneser_ney3(train, [t for _, t in short]), strict=True))
+    assert want - got == Counter() and got.total() == len(rows)
+
+
+class SlowForest:
+    """Path lengths and scores of an isolation forest, one row and one tree at a time."""
+
+    def __init__(self, forest):
+        self.forest = forest
+
+    def score(self, row):
+        paths = []
+        for t in range(len(self.forest.path)):
+            node = 0
+            while self.forest.feature[t, node] >= 0:
+                node = 2 * node + (2 if row[self.forest.feature[t, node]] >= self.forest.split[t, node] else 1)
+            paths.append(self.forest.path[t, node])
+        return 2 ** (-np.mean(paths) / self.forest.norm)
+
+
+def test_isolation_forest():
+    """Leaves hold what their splits leave, scores are those of a walk, and no more than the stated share of calibrating rows is lost."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(400, 3))
+    forest = quality.IsolationForest(rows, rows.min(axis=0), rows.max(axis=0), trees=20, sample=400, depth=6)
+    probe = np.concatenate([rows[:50], rng.uniform(-9, 9, size=(30, 3))])
+    assert np.allclose(forest.scores(probe), [SlowForest(forest).score(x) for x in probe])
+    for t in range(3):  # with all rows in a tree, each leaf's path is its depth and the mean path of the rows in it
+        held = Counter()
+        for x in rows:
+            node = 0
+            while forest.feature[t, node] >= 0:
+                node = 2 * node + (2 if x[forest.feature[t, node]] >= forest.split[t, node] else 1)
+            held[node] += 1
+        assert all(math.isclose(forest.path[t, node], int(math.log2(node + 1)) + quality._mean_path(n)) for node, n in held.items())
+    assert forest.scores(np.full((1, 3), 9.0))[0] > forest.scores(rows).mean()
+    good = np.arange(400) % 5 > 0
+    rules = quality.Rules(rows, good)
+    calibrated = rules.forest.scores(rows[good][1::2])
+    assert (calibrated > rules.threshold).mean() <= quality.LOST and rules.threshold in calibrated
