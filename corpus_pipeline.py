@@ -1,4 +1,7 @@
-"""A training-data pipeline over documents: language, quality, near-duplicates, secrets, packing."""
+"""A training-data pipeline over documents: language, quality, near-duplicates, secrets, packing.
+
+Every stage takes empty tables and keeps other columns, whatever their names, as they are; the last one returns columns of its own.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +16,27 @@ from tarnwell.llm.textkit import new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learned from their labels."""
+    """Documents in one of the languages learned from their labels. Null texts and texts without letters go; repeated rows go or stay together."""
     return in_a_language(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the forest keep."""
+    """Documents that the base rules and the forest keep. Null and empty texts fail the base rules; without good labels these alone decide."""
     return only_kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates. Texts without words all stay; null and repeated ids are reduced like others."""
     return one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+    """Documents with their secrets masked, n_chars to match. Null texts stay null; no row goes."""
     return masked(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of tokens with their buckets and batches."""
+    """Sequences of tokens with their buckets and batches. A null or empty text is a sequence of the end alone."""
     return packed(docs, vocabulary())
 
 
