@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tarnwell.llm.chat import OP5_SQL, op5_chat
-from tarnwell.llm.fingerprint import op1_fingerprint
+from tarnwell.llm.fingerprint import OP1_SQL, op1_fingerprint
 from tarnwell.llm.langid import op4_language
 from tarnwell.llm.neardup import OP2_SQL, op2_near_duplicates
 from tarnwell.llm.ngrams import op10_scores
@@ -27,5 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against brute force."""
-    sql = {"op2_near_duplicates": OP2_SQL, "op5_chat": OP5_SQL, "op7_urls": OP7_SQL}
+    sql = {"op1_fingerprint": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op5_chat": OP5_SQL, "op7_urls": OP7_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -88,6 +88,28 @@ def test_op1(spark):
         assert math.isclose(got[i]["near_next"], 2 * (a & c).total() / (a.total() + c.total()))
 
 
+def test_op1_hot_ids(spark):
+    """No id, and one id, of a third of all rows each: dealt to several ranges, and followed in one circle."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcde fgh") for _ in range(r.randrange(60))) for _ in range(900)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(900)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        parts = fingerprint.with_followers(docs).where("copy = 0").groupBy("doc_id").agg(F.countDistinct("part").alias("n"), F.count("*").alias("rows")).where("rows = 300").collect()
+        got = fingerprint.edited_likeness(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(parts) == 2 and all(x["n"] >= 2 for x in parts)
+    rows = sorted((-(1 << 63) if x[0] is None else x[0], x["h"], x["text"], x[0]) for x in docs.withColumn("h", F.xxhash64("text")).collect())
+    want = []
+    for (_, _, t, i), (_, _, n, _) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.as_text(fingerprint.fingerprint(t))))
+    assert Counter(want) == Counter((x["doc_id"], x["n_chars"], x["edited_sha256"], x["fingerprint"]) for x in got)
+
+
 def test_op1_short_texts(spark):
     """A short text with its last quarter replaced stays like itself, and a passage of a few words is met."""
     r = random.Random(11)
