@@ -37,8 +37,8 @@ SIMILARITY = 0.8
 M, ROWS = 128, 4
 #: Components that must agree for an exact comparison; fewer have a probability of about 1e-8 at similarity 0.8.
 LIKELY = 76
-#: Members of a block where a bucket is compared in full.
-BLOCK = 512
+#: Members of a block where a bucket is compared in full, and bytes of their multisets, about.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Rows of ids and keys (about 60 bytes each) up to which a join on them is a broadcast; beyond, it is a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -134,18 +134,19 @@ def signatures(words: Words) -> np.ndarray:
 
 
 def levels(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int) -> list[bytes]:
-    """Each row's multiset as a sorted set of 32-bit hashes of (element, occurrence), in bytes."""
+    """Each row's multiset as a sorted set of 48-bit hashes of (element, occurrence), 8 bytes each; a first occurrence is its element."""
     own = np.repeat(np.arange(len(element)), weight)
     nth = np.arange(len(own)) - np.repeat(np.cumsum(weight) - weight, weight)
-    key = np.sort(row[own].astype(U64) << U64(32) | mix64(element[own] + nth.astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(32))
-    cut = np.searchsorted(key, np.arange(n_rows + 1, dtype=U64) << U64(32))
-    low = key.astype(np.uint32)
+    hashed = np.where(nth == 0, element[own], mix64(element[own] + nth.astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(16))
+    key = np.sort(row[own].astype(U64) << U64(48) | hashed)
+    cut = np.searchsorted(key, np.arange(n_rows, dtype=U64) << U64(48)).tolist() + [len(key)]
+    low = key & U64((1 << 48) - 1)
     return [low[cut[i] : cut[i + 1]].tobytes() for i in range(n_rows)]
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    """Exact similarity of two multisets in the form that levels() gives."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    """Similarity of two multisets in the form that levels() gives: exact but for equal hashes of 48 bits."""
+    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
@@ -307,16 +308,18 @@ def _exact(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _rest(docs: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame | None:
     """Verified links inside buckets that still hold several classes besides their least member's links.
 
-    Members are compared in blocks of about BLOCK: each pair of blocks is a task's group of bounded size, and at most
+    Members are compared in blocks of about BLOCK members and BLOCK_BYTES at most: each pair of blocks is a task's group of bounded size, and at most
     one link for each member leaves it.
     """
     bands = _bands(nodes).join(comps, "node", "left").select("band", "pos", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = bands.groupBy("band", "pos").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("band", "pos", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = bands.groupBy("band", "pos").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo < hi").select("band", "pos")
     members = written(bands.join(mixed, ["band", "pos"]), "mixed")
     if members.isEmpty():
         return None
     bags = _bags(docs, nodes, members.select("node"))
-    members = members.join(nodes.select("node", "sig").join(bags, "node"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("bag")) / BLOCK_BYTES)).cast("int")
+    sizes = members.join(bags, "node").groupBy("band", "pos").agg(blocks.alias("blocks"))
+    members = members.join(sizes, ["band", "pos"]).join(nodes.select("node", "sig").join(bags, "node"), "node").withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), blocks) as int)"))
     dealt = members.withColumn("k", F.explode(F.expr("sequence(0, blocks - 1)"))).select("band", "pos", "node", "comp", "sig", "bag", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
     return written(dealt.groupBy("band", "pos", "i", "j").applyInArrow(_compared, "a long, b long").distinct(), "links")
 
