@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,23 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, before, first
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the place of each key among them, by hashing: only the distinct ones are sorted."""
+    which, kinds = pd.factorize(keys)
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[which]
+
+
+def numbered(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct tokens and BEGIN; the place among them of each token, and of the one before it (BEGIN at a text's start)."""
+    kinds, at = distinct(np.concatenate([[BEGIN], token]))
+    was = at[:-1].copy()
+    was[first[:-1]] = at[0]
+    return kinds, at[1:], was
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     if not len(keys):
@@ -156,15 +174,17 @@ def within(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray)
     """Which of `want` lie in values[lo:hi], each such range sorted, and where."""
     at, end = lo.astype(np.int64), hi.astype(np.int64)
     open_ = np.flatnonzero(at < end)
-    low, high, own = at[open_], end[open_], want[open_]
+    low, size, own = at[open_], (end - at)[open_], want[open_]
     while len(open_):
-        mid = (low + high) >> 1
-        less = values[mid] < own
-        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-        live = low < high
-        if not live.all():
-            at[open_[~live]] = low[~live]
-            open_, low, high, own = open_[live], low[live], high[live], own[live]
+        half = size >> 1
+        less = (values[np.minimum(low + half, len(values) - 1)] < own) & (size > 0)
+        low += (half + 1) * less
+        size = half - (less & (size & 1 == 0))
+        live = size > 0
+        # ended searches stay (their places no longer move) until they are many
+        if np.count_nonzero(live) < 0.6 * len(live):
+            at[open_] = low
+            open_, low, size, own = open_[live], low[live], size[live], own[live]
     inside = np.flatnonzero(at < end)
     hit = inside[values[at[inside]] == want[inside]]
     return hit, at[hit]
@@ -315,7 +335,9 @@ class Model:
     def found(self, name: str, keys: np.ndarray, hot: np.ndarray) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
         """For each range: its arrays, which of the keys it has, and their places there."""
         shard = self.dealt(keys, hot)
-        order = np.lexsort((keys, shard))
+        order = np.argsort(keys)
+        # a stable sort of few bits is a radix sort
+        order = order[np.argsort(shard[order].astype(np.min_scalar_type(self.shards)), kind="stable")]
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             arrays = self.arrays(name, s)
@@ -349,11 +371,11 @@ class Model:
 
     def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each token's probability after those before it, how often it was met in training, and the place of each text's first token."""
-        token, before, first = tokens(column)
-        kinds, at = np.unique(np.concatenate([token, before]), return_inverse=True)
+        token, _, first = tokens(column)
+        kinds, at, at_before = numbered(token, first)
         ids, counts = self.ids(kinds)
-        now, was = ids[at[: len(token)]], ids[at[len(token) :]]
-        c = counts[at[: len(token)]]
+        now, was = ids[at], ids[at_before]
+        c = counts[at]
         v = self.distinct
         # lower order: how many different words come before the word, over a uniform share for all words and one more
         known = np.flatnonzero(ids >= 0)
@@ -368,13 +390,13 @@ class Model:
         t = max(self.before_total, 1)
         left = sum(d * n for d, n in zip(self.word_discounts, self.before_kinds, strict=True)) if self.before_total else 1.0
         low = (np.maximum(preceded - _discount(preceded, self.word_discounts), 0) + left / (v + 1)) / t
-        low = low[at[: len(token)]]
+        low = low[at]
         # upper order
-        after = after[at[len(token) :]]
+        after = after[at_before]
         both = np.flatnonzero((now >= 0) & (was >= 0))
-        pair, where = np.unique(was[both].astype(U64) << U64(32) | now[both].astype(U64), return_inverse=True)
+        pair, where = distinct(was[both].astype(U64) << U64(32) | now[both].astype(U64))
         times = np.zeros(len(token), np.int64)
-        hot = self.hot(counts)[at[len(token) :]]
+        hot = self.hot(counts)[at_before]
         if self.order == 3:
             hot_pair = np.zeros(len(pair), bool)
             hot_pair[where] = hot[both]
@@ -459,7 +481,8 @@ def learned(docs: DataFrame, order: int = 2) -> Model:
         for batch in batches:
             for b in chunks(batch):
                 token, _, _ = tokens(b.column("text"))
-                held.append(np.unique(token, return_counts=True))
+                kinds, at = distinct(token)
+                held.append((kinds, np.bincount(at, minlength=len(kinds))))
                 size += len(held[-1][0])
                 if size > HELD:
                     held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
@@ -574,10 +597,10 @@ def _with_triples(rows: DataFrame, model: Model) -> Model:
 
         for batch in batches:
             for b in chunks(batch):
-                token, before, first = tokens(b.column("text"))
-                kinds, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-                ids = model.ids(kinds)[0].astype(U64)[at]
-                now, was = ids[: len(token)], ids[len(token) :]
+                token, _, first = tokens(b.column("text"))
+                kinds, at, at_before = numbered(token, first)
+                ids = model.ids(kinds)[0].astype(U64)
+                now, was = ids[at], ids[at_before]
                 earlier = np.roll(was, 1)
                 earlier[first[:-1]] = was[first[:-1]]
                 held.append((was << U64(32) | earlier, now.astype(np.uint32)))
