@@ -442,11 +442,9 @@ def seg_file_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_WANTED}, {_SEGMENT} SELECT w.segment, w.key, s.key IS NOT NULL AS present FROM w LEFT JOIN segment_files s ON s.segment = w.segment AND s.key = w.key")
 def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership by segment files' filters; what they let through is checked in the files."""
-    root, wanted = segfile.shared_folder(spark), _wanted(spark, sf_dir)
+    root = segfile.shared_folder(spark)
     segfile.write_segments(_entries(spark, sf_dir), root, 1)
-    maybe = segfile.may_contain(spark, root, wanted)
-    there = segfile.lookup(spark, root, maybe.where("maybe")).select("segment", "key", F.lit(True).alias("there"))
-    return maybe.join(there, ["segment", "key"], "left").select("segment", F.col("key").cast("string").alias("key"), (F.col("maybe") & F.coalesce("there", F.lit(False))).alias("present"))
+    return segfile.membership(spark, root, _wanted(spark, sf_dir)).select("segment", F.col("key").cast("string").alias("key"), "present")
 
 
 @query("SELECT printf('user:%08d', c_custkey) AS key, c_name || '!' AS value, 2::BIGINT AS versions FROM customer WHERE c_custkey % 3 > 0")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.operators.blocks import ENTRY, HEAD, TARGET, bloom_size
-from tarnwell.sources.shared import create_once, names, shared_folder  # noqa: F401
+from tarnwell.sources.shared import create_once, exists, names, shared_folder, text_of  # noqa: F401
 
 # Fixed values of the formats: magic and version of each part, sizes, kinds of compression, constants of the filter's hashes.
 HEADER, BLOCK, BLOOM, FOOTER, DICTIONARY = b"FHDR", b"FBLK", b"FBLM", b"FFTR", b"FDDC"
@@ -145,6 +145,11 @@ def decode_index(data: bytes) -> list[Place]:
     return checked_index(places)
 
 
+def first_hashes(keys: list[bytes]) -> np.ndarray:
+    """The first hash of each key."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), U64, len(keys))
+
+
 def second_hash(h1: np.ndarray) -> np.ndarray:
     """The step between a key's bits, made of its first hash; never 0."""
     x = (h1 ^ U64(GOLDEN)) + U64(GOLDEN)
@@ -161,20 +166,27 @@ class Bloom:
         self.bits, self.hashes = bits, hashes
         self.data = np.zeros(bits // 8, np.uint8) if data is None else np.frombuffer(data, np.uint8)
 
-    def _at(self, h1: np.ndarray, i: int) -> np.ndarray:
-        return (h1 + U64(i) * second_hash(h1)) % U64(self.bits)
+    def _at(self, h1: np.ndarray, i: int | np.ndarray) -> np.ndarray:
+        return (h1 + np.asarray(i, U64) * second_hash(h1)) % U64(self.bits)
+
+    def _places(self, h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and bits of keys, a row for each of the filter's hashes."""
+        at = self._at(h1, np.arange(self.hashes)[:, None])
+        return (at >> U64(3)).astype(np.int64), (at & U64(7)).astype(np.uint8)
 
     def add(self, h1: np.ndarray) -> None:
         """Add keys by their first hashes (XXH64 with seed 0)."""
-        for i in range(self.hashes):
-            at = self._at(h1, i)
-            np.bitwise_or.at(self.data, (at // U64(8)).astype(np.int64), (U64(1) << (at % U64(8))).astype(np.uint8))
+        at, bit = self._places(h1)
+        np.bitwise_or.at(self.data, at.ravel(), np.left_shift(np.uint8(1), bit.ravel()))
+
+    def may_contain_each(self, h1: np.ndarray) -> np.ndarray:
+        """For each key, by its first hash: false if it was never added."""
+        at, bit = self._places(h1)
+        return (self.data[at] >> bit & np.uint8(1)).all(axis=0)
 
     def may_contain(self, key: bytes) -> bool:
         """False: the key was never added."""
-        h1 = np.array([xxhash.xxh64_intdigest(key)], U64)
-        at = [int(self._at(h1, i)[0]) for i in range(self.hashes)]
-        return all(self.data[x // 8] >> (x % 8) & 1 for x in at)
+        return bool(self.may_contain_each(first_hashes([key]))[0])
 
     def encode(self) -> bytes:
         """The filter section."""
@@ -441,6 +453,9 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+MANIFEST = "segment bigint, file string, n_blocks int, n_entries bigint, bytes bigint"
+
+
 def write_segments(entries: DataFrame, root: str, version: int, target: int = TARGET, rate: float = 0.01, dictionary: Dictionary | None = None) -> DataFrame:
     """One file below root for each segment of (segment, key, value); a row for each: segment, file, n_blocks, n_entries, bytes.
 
@@ -475,12 +490,12 @@ def write_segments(entries: DataFrame, root: str, version: int, target: int = TA
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["segment", "file", "n_blocks", "n_entries", "bytes"])
 
     rows = entries.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"))
-    if commit_name(version) in names(spark, root):
+    if names(spark, root, commit_name(version)):
         raise FileExistsError(f"{root}/{commit_name(version)}")
     dealt = rows.repartition("segment").sortWithinPartitions("segment", "key")
-    manifest = f"{root}/_manifest-{version:020d}-{job}"
-    dealt.mapInArrow(work, "segment bigint, file string, n_blocks int, n_entries bigint, bytes bigint").write.parquet(manifest)
-    whole = spark.read.parquet(manifest)
+    manifest = f"{root}/{manifest_name(version, job)}"
+    dealt.mapInArrow(work, MANIFEST).write.parquet(manifest)
+    whole = spark.read.schema(MANIFEST).parquet(manifest)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(root)
@@ -507,15 +522,28 @@ def commit_name(version: int) -> str:
     return f"_commit-{version:020d}"
 
 
+def manifest_name(version: int, job: str) -> str:
+    """The name of the folder that lists the files of a version; the version's commit file says which job's."""
+    return f"_manifest-{version:020d}-{job}"
+
+
 def segment_files(spark: SparkSession, root: str, latest: bool = False) -> DataFrame:
-    """segment, version and path of the files of committed versions; of each segment's latest only, if asked for."""
-    versions = [int(x[8:]) for x in names(spark, root) if re.fullmatch(r"_commit-\d+", x)]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "segment-*.seg").load(root).select("path")
-    number = lambda i: F.regexp_extract("path", r"segment-(\d+)-v(\d+)\.seg$", i).cast("bigint")
-    files = files.select(number(1).alias("segment"), number(2).alias("version"), "path").where(F.col("version").isin(versions))
-    if latest:
-        files = files.groupBy("segment").agg(F.max("version").alias("version"), F.max_by("path", "version").alias("path"))
-    return files
+    """segment, version and path of the files of committed versions; of each segment's latest only, if asked for.
+
+    They come from the manifests of those versions, so that neither the driver nor a job goes through the files.
+    """
+    commits = [x for x in names(spark, root, "_commit-*") if re.fullmatch(r"_commit-\d+", x)]
+    if not commits and not exists(spark, root):
+        raise FileNotFoundError(root)
+    manifests = [f"{root}/{manifest_name(int(x[8:]), text_of(spark, f'{root}/{x}'))}" for x in commits]
+    if manifests:
+        version = F.regexp_extract("_metadata.file_path", r"_manifest-(\d+)-[^/]*/[^/]*$", 1).cast("bigint")
+        files = spark.read.schema(MANIFEST).parquet(*manifests).select("segment", version.alias("version"))
+    else:
+        files = spark.createDataFrame([], "segment bigint, version bigint")
+    if latest and len(manifests) > 1:
+        files = files.groupBy("segment").agg(F.max("version").alias("version"))
+    return files.withColumn("path", F.format_string("%s/segment-%020d-v%020d.seg", F.lit(root), "segment", "version"))
 
 
 def _known(raws: list[tuple]) -> Registry:
@@ -554,7 +582,53 @@ def read_segments(spark: SparkSession, root: str, registry: list[Dictionary] | N
                         if high is not None and reader.index[i].separator >= high:
                             break
 
-    return segment_files(spark, root, latest).select("segment", "path").mapInArrow(work, _ENTRIES)
+    # dealt anew, as what the manifests' own parts list may be one writer's many segments
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return segment_files(spark, root, latest).select("segment", "path").repartition(parts).mapInArrow(work, _ENTRIES)
+
+
+def _wanted(spark: SparkSession, root: str, keys: DataFrame, once: bool = False) -> DataFrame:
+    """segment, version, key of the wanted (segment, key) rows whose segment has a file, in order; once: without repeated rows.
+
+    They are dealt by segment, in one shuffle, so that few tasks open the same file.
+    """
+    wanted = keys.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key")).repartition("segment")
+    files = segment_files(spark, root, latest=True).select("segment", "version")
+    rows = (wanted.distinct() if once else wanted).join(files, "segment")
+    return rows.sortWithinPartitions("segment", "key").select("segment", "version", "key")
+
+
+def _answered(batches: Iterator[pa.RecordBatch], root: str, known: Registry | None, read: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes | None]]]:
+    """Batches of `_wanted` rows, with what each row's filter says and, if asked to read, its value (None: it isn't there).
+
+    A file is opened once and its filter asked for all of a batch's keys together; keys come in order, so a block is read once.
+    """
+    store, folder = _store(root)
+    now, file, reader, held, block = None, None, None, [], -1
+    for b in batches:
+        segments, versions, keys = (b.column(c).to_pylist() for c in ("segment", "version", "key"))
+        hashes, maybe, values = first_hashes(keys), np.zeros(len(keys), bool), [None] * len(keys)
+        begins = [i for i, s in enumerate(segments) if not i or s != segments[i - 1]]
+        for begin, end in zip(begins, [*begins[1:], len(keys)], strict=True):
+            if segments[begin] != now:
+                if file:
+                    file.close()
+                now, file = segments[begin], store.open_input_file(f"{folder}/{file_name(segments[begin], versions[begin])}")
+                reader, block = SegmentReader(file, known, read), -1
+                separators = [p.separator for p in reader.index]
+            maybe[begin:end] = reader.bloom.may_contain_each(hashes[begin:end])
+            for j in (begin + np.flatnonzero(maybe[begin:end])).tolist() if read else ():
+                i = bisect_left(separators, keys[j])
+                if i == len(separators):
+                    break  # so are all keys after it
+                if i != block:
+                    held, block = reader.block(i), i
+                at = bisect_left(held, (keys[j],))
+                if at < len(held) and held[at][0] == keys[j]:
+                    values[j] = held[at][1]
+        yield b, maybe, values
+    if file:
+        file.close()
 
 
 def lookup(spark: SparkSession, root: str, keys: DataFrame, registry: list[Dictionary] | None = None) -> DataFrame:
@@ -563,47 +637,33 @@ def lookup(spark: SparkSession, root: str, keys: DataFrame, registry: list[Dicti
     Wanted keys go to the task that opens their segment's file: its filter says which can't be there, its index which block to read.
     """
     raws = [(d.id, d.raw, d.level) for d in registry or []]
-    wanted = keys.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key")).distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, now, reader, held, block = _known(raws), None, None, [], -1
-        for b in batches:
-            out = []
-            for segment, uri, key in zip(b.column("segment").to_pylist(), b.column("path").to_pylist(), b.column("key").to_pylist(), strict=True):
-                if uri != now:
-                    store, path = _store(uri)
-                    now, reader, block = uri, SegmentReader(store.open_input_file(path), known), -1
-                i = bisect_left(reader.index, key, key=lambda p: p.separator) if reader.bloom.may_contain(key) else len(reader.index)
-                if i == len(reader.index):
-                    continue
-                if i != block:  # keys come in order, so a block is read once
-                    held, block = reader.block(i), i
-                at = bisect_left(held, key, key=lambda e: e[0])
-                if at < len(held) and held[at][0] == key:
-                    out.append((segment, reader.version, held[at]))
-            for segment, version in dict.fromkeys(x[:2] for x in out):
-                yield _rows(segment, version, [e for s, v, e in out if (s, v) == (segment, version)])
+        for b, _, values in _answered(batches, root, _known(raws)):
+            there = pa.array([v is not None for v in values], pa.bool_())
+            rows = [*(b.column(c) for c in ("segment", "version", "key")), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays([x.filter(there) for x in rows], ["segment", "version", "key", "value"])
 
-    files = segment_files(spark, root, latest=True).select("segment", "path")
-    dealt = wanted.join(files, "segment").repartition("segment").sortWithinPartitions("segment", "key")
-    return dealt.select("segment", "path", "key").mapInArrow(work, _ENTRIES)
+    return _wanted(spark, root, keys, once=True).mapInArrow(work, _ENTRIES)
 
 
 def may_contain(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """segment, key, maybe: what each segment's latest filter says of the wanted (segment, key) rows; never false for a key that is there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bloom = None, None
-        for b in batches:
-            said = []
-            for uri, key in zip(b.column("path").to_pylist(), b.column("key").to_pylist(), strict=True):
-                if uri != now:
-                    store, path = _store(uri)
-                    with store.open_input_file(path) as file:
-                        now, bloom = uri, SegmentReader(file, None, False).bloom
-                said.append(bloom.may_contain(key))
-            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("key"), pa.array(said, pa.bool_())], ["segment", "key", "maybe"])
-
-    wanted = keys.select(F.col("segment").cast("bigint").alias("segment"), F.col("key").cast("binary").alias("key"))
-    dealt = wanted.join(segment_files(spark, root, latest=True).select("segment", "path"), "segment").repartition("segment").sortWithinPartitions("segment", "key")
-    return dealt.select("segment", "path", "key").mapInArrow(work, "segment bigint, key binary, maybe boolean")
+        for b, maybe, _ in _answered(batches, root, None, read=False):
+            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("key"), pa.array(maybe)], ["segment", "key", "maybe"])
+
+    return _wanted(spark, root, keys).mapInArrow(work, "segment bigint, key binary, maybe boolean")
+
+
+def membership(spark: SparkSession, root: str, keys: DataFrame, registry: list[Dictionary] | None = None) -> DataFrame:
+    """segment, key, maybe, present: what `may_contain` says, and whether the key is there, as the file of what a filter lets through tells."""
+    raws = [(d.id, d.raw, d.level) for d in registry or []]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, maybe, values in _answered(batches, root, _known(raws)):
+            present = pa.array([v is not None for v in values], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("segment"), b.column("key"), pa.array(maybe), present], ["segment", "key", "maybe", "present"])
+
+    return _wanted(spark, root, keys).mapInArrow(work, "segment bigint, key binary, maybe boolean, present boolean")

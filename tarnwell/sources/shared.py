@@ -53,10 +53,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(there, True)
 
 
-def names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the files in a folder; none where there is no folder."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder."""
+    fs, there = _hadoop(spark, path)
+    return fs.exists(there)
+
+
+def names(spark: SparkSession, folder: str, pattern: str = "*") -> list[str]:
+    """Names of the files in a folder that fit a pattern; none where there is no folder. Only those names reach Python."""
     fs, there = _hadoop(spark, folder)
-    return sorted(x.getPath().getName() for x in fs.listStatus(there)) if fs.exists(there) else []
+    fits = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobFilter(pattern)
+    return sorted(x.getPath().getName() for x in fs.listStatus(there, fits)) if fs.exists(there) else []
 
 
 def text_of(spark: SparkSession, path: str) -> str:

@@ -134,3 +134,53 @@ def test_sink_and_source(spark, tmp_path):
     with pytest.raises(Exception, match="ascend"):
         s.write_segments(e.unionAll(e), root, 2)
     s.write_segments(e.limit(0), f"file://{tmp_path}/none", 1)
+
+
+def test_filter_of_many_keys():
+    f = s.Bloom(*s.bloom_size(500))
+    f.add(s.first_hashes([b"k%d" % i for i in range(500)]))
+    keys = [b"k%d" % i for i in range(400, 3000)]
+    said = f.may_contain_each(s.first_hashes(keys))
+    assert said[:100].all() and said.tolist() == [f.may_contain(k) for k in keys] and 0 < (~said).sum()
+    assert f.may_contain_each(s.first_hashes([])).tolist() == []
+
+
+def test_membership_in_one_pass(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    there = {(i % 5 - 1, f"k{i:05d}") for i in range(0, 4000, 3)}
+    s.write_segments(spark.createDataFrame([(a, k, "") for a, k in sorted(there)], "segment bigint, key string, value string"), root, 1, target=64)
+    wanted = [(a, f"k{i:05d}") for a in range(-1, 6) for i in range(0, 4000, 7)] + [(a, "zzz") for a in range(-1, 6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = s.membership(spark, root, spark.createDataFrame(wanted * 2, "segment bigint, key string"))
+        got = [(r["segment"], bytes(r["key"]).decode(), r["maybe"], r["present"]) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # repeated rows stay, segment 4 and 5 have no file
+    assert sorted(x[:2] for x in got) == sorted([x for x in wanted if x[0] < 4] * 2)
+    assert all(p == ((a, k) in there) and (m or not p) for a, k, m, p in got)
+    assert sum(m for _, _, m, _ in got) < sum(p for *_, p in got) + 0.05 * len(got)
+
+
+def test_membership_query_reads_files_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwell.plans.queries import QUERIES
+
+    spark.range(3000).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit("1").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["bloom_membership"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("MapInArrow"), plan.count("binaryFile"), plan.count("RepartitionByExpression")) == (1, 0, 1)
+    got = {r["key"]: r["present"] for r in found.collect()}
+    assert got == {f"order:{i:012d}": True for i in range(0, 3000, 7)} | {f"other:{i:012d}": False for i in range(1, 3000, 7)}
+
+
+def test_files_that_no_manifest_names(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    s.write_segments(spark.createDataFrame([(1, "a", "x"), (-2, "b", "y")], "segment bigint, key string, value string"), root, 1)
+    # an attempt at version 1 that ended before its commit left this file
+    (tmp_path / "s" / s.file_name(7, 1)).write_bytes((tmp_path / "s" / s.file_name(1, 1)).read_bytes())
+    assert sorted((r["segment"], bytes(r["key"])) for r in s.read_segments(spark, root).collect()) == [(-2, b"b"), (1, b"a")]
+    assert {(r["segment"], r["path"]) for r in s.segment_files(spark, root).collect()} == {(i, f"{root}/{s.file_name(i, 1)}") for i in (1, -2)}
+    with pytest.raises(FileNotFoundError):
+        s.read_segments(spark, f"{root}-none")
